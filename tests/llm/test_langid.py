@@ -1,0 +1,69 @@
+import math
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from popspark.llm import langid
+
+
+def all_segmentations(word, probs):
+    if not word:
+        return 1.0
+    return sum(probs[word[:n]] * all_segmentations(word[n:], probs) for n in range(1, len(word) + 1) if word[:n] in probs)
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["a", "ab", "abc", "b", "bc", "c", "ca"]
+    probs = np.random.default_rng(0).dirichlet(np.ones(len(pieces)), 2).T
+    model = langid.Model(["x", "y"], pieces, probs)
+    words = ["a", "abc", "abcabcab", "ccc", "bca"] + ["abc" * 30]
+    got = model.words(words)
+    for w, row in zip(words, got):
+        if len(w) < 20:
+            for i in range(2):
+                assert math.isclose(row[i], math.log(all_segmentations(w, dict(zip(pieces, probs[:, i])))), rel_tol=1e-9)
+    long = ["abc" * 4000]
+    assert np.isfinite(model.words(long)).all()
+
+
+def test_expected_counts_match_enumeration():
+    pieces = ["a", "ab", "b"]
+    probs = np.array([[0.5], [0.2], [0.3]])
+    model = langid.Model(["x"], pieces, probs)
+    expected = np.zeros((4, 1))
+    langid._expect(model, model.table(), langid._codes(["ab"], 2), np.array([[3.0]]), expected)
+    both, one = 0.15, 0.2
+    assert np.allclose(expected[:3, 0], [3 * both / (both + one), 3 * one / (both + one), 3 * both / (both + one)])
+
+
+def test_held_out_accuracy_and_contract(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    got = langid.digest(docs).collect()
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    assert len(got) == len(lang)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.95
+
+
+def test_edge_cases(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(None, "la de la", None), (9001, None, "en"), (9002, "", "en"), (9003, "12 34 !!", None), (9004, "the" * 5000, "en"), (9005, "中文字", None), (9006, "퟿ ok", "xx")]
+    df = docs.union(spark.createDataFrame(odd, docs.schema)).withColumn("score", F.lit("x"))
+    got = {r.doc_id: r for r in langid.digest(df).collect()}
+    assert [got[i].lang_pred for i in (9001, 9002, 9003)] == ["und"] * 3 and got[9003].score == 0
+    assert got[9005].lang_pred != "und" and got[None].held_out is False
+    kept = langid.accept(df)
+    assert kept.columns == df.columns and kept.where("doc_id in (9001, 9002, 9003)").count() == 0
+    assert langid.digest(df.limit(0)).count() == 0
+    unlabelled = langid.digest(df.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {(r.lang_pred, r.score) for r in unlabelled} == {("und", 0.0)}
+
+
+def test_predictions_ignore_lang_and_source(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    a = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
+    b = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.withColumn("lang", F.lit("fr")), model).collect()}
+    assert a == b
