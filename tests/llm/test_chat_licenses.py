@@ -1,3 +1,4 @@
+import textwrap
 from collections import defaultdict
 
 from popspark.llm import chat, licenses
@@ -56,7 +57,7 @@ def test_license_findings(spark, sf):
 def test_license_wording(spark):
     mit, apache = licenses.TEMPLATES[0][1], licenses.TEMPLATES[6][1]
     prose = "Some words of prose that say nothing of the kind stand here.\n" * 5
-    lines = "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70))
+    lines = textwrap.fill(mit, 70)
     data = [
         (1, None), (2, ""), (3, prose), (4, prose + lines + "\n" + prose), (5, mit.replace("free of charge", "at no cost") + "\n" + prose + apache), (6, "copyright me " * 2000), (7, "Licensed under CC BY-NC 4.0."),
         (8, "Licensed under CC BY 4.0."), (9, "The driver's license and the warranty ran out."), (None, "Released under the MIT License."), (10, "x " * 30000 + "Released under the MIT License. " + "y " * 30000), (11, "no license here, MIT or otherwise, is granted"),
