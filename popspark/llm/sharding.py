@@ -7,7 +7,7 @@ mixture, and it is cut into shards whose row counts differ by one at most (the
 law is `rows`). The slot is the place within the shard.
 
 Ranks without a task per source: the hash space is cut into bins of about
-`bin_rows` rows, rows are counted by source and bin, running sums of the counts
+`bin_rows` rows (all sources together), rows are counted by source and bin, running sums of the counts
 give each bin's first rank, and rows are sorted only within their bin. The place
 in the whole sequence then follows from the source sizes alone: before row r of a
 source of n come, of each source of m rows, those q with (2q + 1) / 2m smaller.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SHARDS, SEED, BIN_ROWS, MOST_SOURCES = 24, 7, 20_000, 256
+SHARDS, SEED, BIN_ROWS, MOST_BINS, MOST_SOURCES = 24, 7, 2000, 100_000, 256
 
 
 def text_bytes(text: Column) -> Column:
@@ -51,7 +51,7 @@ def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int
     total = df.count()
     if not total:
         return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    bins = -(-total // bin_rows)
+    bins = min(-(-total // bin_rows), MOST_BINS)  # a source has a row for each bin in the tables of counts
     # The hash is uniform over all longs: its high 31 bits scaled to the bins.
     bin_of = F.floor((F.shiftright(F.col("_hash"), 33) + (1 << 30)) * bins / (1 << 31)).cast("long")
     counts = materialise(slim.withColumn("_bin", bin_of).groupBy("_source", "_bin").agg(F.count("*").alias("_count")), "shard-counts")
@@ -88,7 +88,7 @@ def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int
 
 def _by_sorting(ranked: DataFrame, total: int, bin_rows: int) -> DataFrame:
     """_place by sorting the fractions in bins."""
-    bins = -(-total // bin_rows)
+    bins = min(-(-total // bin_rows), MOST_BINS)
     fraction = (2 * F.col("_rank") + 1).cast("decimal(20,0)") / (2 * F.col("_n")).cast("decimal(20,0)")
     ranked = ranked.withColumn("_fraction", fraction.cast("decimal(38,18)"))
     ranked = ranked.withColumn("_slice", F.floor(F.col("_fraction").cast("double") * bins))
