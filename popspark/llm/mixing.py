@@ -35,6 +35,10 @@ SHARE, MOST_EPOCHS, SEED, BINS = 1.5, 2, "mix-1", 128
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
+def text_hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def targets(sizes: DataFrame, share: float = SHARE, most_epochs: int = MOST_EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """source, source_size, target for the rows (source, source_size), one for each source.
 
@@ -101,7 +105,7 @@ def plan(rows: DataFrame, share: float = SHARE, most_epochs: int = MOST_EPOCHS,
 
 def prepare(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows `plan` needs. Quality: 2 for a good label, 0.5 for a bad one, 1 without label."""
-    rows = docs.select("doc_id", "source", F.size(split_words(F.col("text").cast("string"))).cast("long").alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    rows = docs.select("doc_id", "source", F.size(split_words(F.col("text").cast("string"))).cast("long").alias("size"), text_hash(F.col("text")).alias("text_hash"))
     if labels is None:
         return rows.withColumn("quality", F.lit(1.0))
     best = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("label"))
@@ -112,7 +116,7 @@ def prepare(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 def mix(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
     """docs, each row as often as the mix takes it (columns of docs only)."""
     chosen = plan(prepare(docs, labels), **options).groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["mix_id"]) & (F.xxhash64(docs["text"].cast("string")) == chosen["mix_hash"]))
+    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["mix_id"]) & (text_hash(docs["text"]) == chosen["mix_hash"]))
     # Rows equal in doc_id and text share what they were given; an odd copy among them is left out.
     times = F.floor(F.col("mix_copies") / F.col("mix_rows")).cast("int")
     return joined.withColumn("mix_n", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)

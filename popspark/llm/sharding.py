@@ -40,20 +40,25 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
+def shuffled(doc_id: Column, seed: int) -> Column:
+    """60 bits of md5 of seed and id: the place in the seeded shuffle."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int = BIN_ROWS, most_sources: int = MOST_SOURCES) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (from 0, gapless within a shard)."""
     own = ["_source", "_bin", "_rank", "_n", "_place", "_hash", "_order"]
     if not df.columns or set(own) & set(df.columns):
         raise ValueError(f"these column names are reserved: {own}")
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))  # null last
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = shuffled(F.col("doc_id"), seed)
     slim = df.select(source.alias("_source"), order.alias("_hash"))
     total = df.count()
     if not total:
         return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     bins = min(-(-total // bin_rows), MOST_BINS)  # a source has a row for each bin in the tables of counts
-    # The hash is uniform over all longs: its high 31 bits scaled to the bins.
-    bin_of = F.floor((F.shiftright(F.col("_hash"), 33) + (1 << 30)) * bins / (1 << 31)).cast("long")
+    bin_of = F.shiftright(F.shiftright(F.col("_hash"), 29) * bins, 31)  # the hash's high 31 bits scaled to the bins
     counts = materialise(slim.withColumn("_bin", bin_of).groupBy("_source", "_bin").agg(F.count("*").alias("_count")), "shard-counts")
     by = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(F.col("_source").alias("_s"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_count").over(by), F.lit(0)).alias("_first"))
