@@ -19,7 +19,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Great-circle distance in km (X1); null if a coordinate is null."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
+    # least() passes over nulls, so a missing coordinate is kept out of it.
+    return F.when(a.isNotNull(), F.lit(2 * EARTH_KM) * F.asin(F.least(F.sqrt(a), F.lit(1.0))))
 
 
 def is_spatial(lat: Column, lon: Column) -> Column:

@@ -198,7 +198,7 @@ def triangle_gather(t: DataFrame, index: DataFrame) -> DataFrame:
     low, high = F.least("i", "j"), F.greatest("i", "j")
     cells = t.select(low.alias("a"), high.alias("b"), "value")
     forward = cells.join(a, "a").join(b, "b")
-    backward = cells.withColumnsRenamed({"a": "b", "b": "a"}).join(a, "a").join(b, "b")
+    backward = cells.select(F.col("b").alias("a"), F.col("a").alias("b"), "value").join(a, "a").join(b, "b")
     return forward.unionByName(backward).where("pa < pb").select(F.col("pa").alias("i"), F.col("pb").alias("j"), "value")
 
 

@@ -96,7 +96,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     A text file's order is its bytes' order: lines are numbered in the task that
     reads them, which for these hand-made formats is one.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split("value", "\n")).alias("at", "text")).select((F.col("at") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
 
 
@@ -250,7 +250,7 @@ def import_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     A point needs a name; size is 1 unless given; other properties become the
     categorical or, if numbers, the continuous attributes.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     schema = "type string, features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
     parsed = text.select(F.from_json("value", schema).alias("g"), F.col("value").alias("raw"))
     if parsed.where((F.col("g.type") != "FeatureCollection") | F.col("g.features").isNull()).limit(1).count():

@@ -116,7 +116,7 @@ class ProjectStore:
             raise StoreError(f"could not publish {path}")
 
     def _get(self, path: str) -> str:
-        return self.spark.read.option("wholetext", True).text(path).first()[0]
+        return self.spark.read.text(path, wholetext=True).first()[0]
 
     def _pointer(self, component: str) -> str:
         return f"{self.path}/{component}.json"
