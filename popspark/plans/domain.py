@@ -68,7 +68,7 @@ def trade(spark: SparkSession, sf_dir: str, k: int = 4) -> tuple[DataFrame, Data
     sums = flow.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
     top = sums.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("revenue"), "dst"))).where(F.col("k") <= k)
     nodes = n.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("name"))
-    return nodes, top.select((F.col("src") * 100 + F.col("k")).alias("edge_ord"), "src", "dst", F.round(F.lit(1e7) / F.col("revenue"), 6).alias("weight"))
+    return nodes, top.select((F.col("src") * 100 + F.col("k")).cast("long").alias("edge_ord"), "src", "dst", F.round(F.lit(1e7) / F.col("revenue"), 6).alias("weight"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
