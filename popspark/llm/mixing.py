@@ -116,7 +116,9 @@ def prepare(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 def mix(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
     """docs, each row as often as the mix takes it (columns of docs only)."""
     chosen = plan(prepare(docs, labels), **options).groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["mix_id"]) & (text_hash(docs["text"]) == chosen["mix_hash"]))
+    # The row travels as one struct, so none of its names can clash with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("doc_id").alias("own_id"), text_hash(F.col("text")).alias("own_hash"))
+    joined = rows.join(chosen.where("mix_copies > 0"), F.col("own_id").eqNullSafe(F.col("mix_id")) & (F.col("own_hash") == F.col("mix_hash")))
     # Rows equal in doc_id and text share what they were given; an odd copy among them is left out.
     times = F.floor(F.col("mix_copies") / F.col("mix_rows")).cast("int")
-    return joined.withColumn("mix_n", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return joined.select("mix_row", F.explode(F.array_repeat(F.lit(1), times)).alias("mix_n")).select("mix_row.*")

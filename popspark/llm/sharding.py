@@ -17,8 +17,8 @@ are sorted by fraction, again in bins (fractions are evenly spread).
 Nulls and edge cases: a null source is a source of its own, ordered last; a null
 text has no bytes and crc32 0; equal hash and doc_id are ordered by the text's
 crc32, and rows equal in all of these are interchangeable; a null doc_id hashes as
-the empty string; extra columns are kept by `assign`, its own column names are
-reserved; an empty table gives no rows; fewer rows than shards leave the last
+the empty string; extra columns are kept by `assign`, whatever their names, and
+earlier columns `shard` and `slot` are replaced; an empty table gives no rows; fewer rows than shards leave the last
 shards empty.
 """
 
@@ -47,16 +47,16 @@ def shuffled(doc_id: Column, seed: int) -> Column:
 
 
 def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int = BIN_ROWS, most_sources: int = MOST_SOURCES) -> DataFrame:
-    """df with shard (0 to shards - 1) and slot (from 0, gapless within a shard)."""
-    own = ["_source", "_bin", "_rank", "_n", "_place", "_hash", "_order"]
-    if not df.columns or set(own) & set(df.columns):
-        raise ValueError(f"these column names are reserved: {own}")
+    """df with shard (0 to shards - 1) and slot (from 0, gapless within a shard) in place of columns so named."""
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    # The row travels as one struct, so none of its names can clash with those used here.
+    df = df.select(F.struct(*kept).alias("_row"), F.col("source").cast("string").alias("source"), "doc_id", text_crc32(F.col("text").cast("string")).alias("_order"))
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))  # null last
     order = shuffled(F.col("doc_id"), seed)
     slim = df.select(source.alias("_source"), order.alias("_hash"))
     total = df.count()
     if not total:
-        return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return df.select("_row.*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     bins = min(-(-total // bin_rows), MOST_BINS)  # a source has a row for each bin in the tables of counts
     bin_of = F.shiftright(F.shiftright(F.col("_hash"), 29) * bins, 31)  # the hash's high 31 bits scaled to the bins
     counts = materialise(slim.withColumn("_bin", bin_of).groupBy("_source", "_bin").agg(F.count("*").alias("_count")), "shard-counts")
@@ -66,18 +66,20 @@ def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int
     firsts = materialise(firsts.join(sizes, firsts["_s"] == sizes["_source"]).select("_s", "_b", "_first", "_n"), "shard-firsts")
 
     keyed = df.withColumn("_source", source).withColumn("_hash", order).withColumn("_bin", bin_of)
-    keyed = keyed.withColumn("_order", text_crc32(F.col("text").cast("string")))
     within = Window.partitionBy("_source", "_bin").orderBy("_hash", "doc_id", "_order")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1)
     ranked = ranked.join(firsts, (ranked["_source"] == firsts["_s"]) & (ranked["_bin"] == firsts["_b"])).withColumn("_rank", F.col("_rank") + F.col("_first")).drop("_s", "_b", "_first")
 
     if sizes.count() <= most_sources:
         place = F.lit(0).cast("long")
+        # Products of two row counts: longs while they fit, decimals beyond.
+        wide = total > 2_000_000_000
+        rank, n = ("cast(_rank as decimal(20, 0))", "cast(_n as decimal(20, 0))") if wide else ("_rank", "_n")
         for name, m in sorted((r["_source"], r["_n"]) for r in sizes.collect()):  # at most most_sources rows
-            # How many q >= 0 have (2q + 1) n < (2r + 1) m, or as many with equality for sources before this one.
-            twice = (2 * F.col("_rank") + 1) * F.lit(m).cast("long")
-            limit = F.when(F.lit(name) < F.col("_source"), F.floor((twice + F.col("_n")) / (2 * F.col("_n")))).otherwise(F.ceil((twice - F.col("_n")) / (2 * F.col("_n"))))
-            place = place + F.greatest(F.least(limit, F.lit(m).cast("long")), F.lit(0).cast("long"))
+            # How many q >= 0 have (2q + 1) n < (2r + 1) m; for sources before this one equality counts too.
+            count = lambda less: F.expr(f"((2 * {rank} + 1) * {m}{'BD' if wide else 'L'} + {n} - {less}) div (2 * {n})")  # noqa: B023, E731
+            limit = F.when(F.lit(name) < F.col("_source"), count(0)).otherwise(count(1))
+            place = place + F.least(limit, F.lit(m).cast("long"))
         placed = ranked.withColumn("_place", place)
     else:
         placed = _by_sorting(ranked, total, bin_rows)
@@ -88,7 +90,7 @@ def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int
     past = F.floor((at - edge) / max(small, 1))
     shard = F.when(at < edge, F.floor(at / big)).otherwise(long_ones + past).cast("int")
     slot = F.when(at < edge, at % big).otherwise((at - edge) % max(small, 1)).cast("long")
-    return placed.withColumn("shard", shard).withColumn("slot", slot).drop(*own)
+    return placed.select("_row.*", shard.alias("shard"), slot.alias("slot"))
 
 
 def _by_sorting(ranked: DataFrame, total: int, bin_rows: int) -> DataFrame:

@@ -46,8 +46,8 @@ def test_digest_and_edge_cases(spark, sf):
     assert sharding.digest(df.limit(0)).count() == 0
     few = sharding.assign(df.select("doc_id", "text", "source").limit(3), 24).collect()
     assert sorted(r.shard for r in few) == [0, 1, 2]
-    with pytest.raises(ValueError):
-        sharding.assign(df.withColumnRenamed("size", "_rank"))
+    clash = sharding.assign(df.withColumnRenamed("size", "_rank").withColumn("_source", df["doc_id"])).collect()
+    assert sorted(str(r["_rank"]) for r in clash) == ["1"] * len(rows) and all(r["_source"] == r.doc_id and 0 <= r.shard < 24 for r in clash)
 
 
 def test_written_shards(spark, sf, tmp_path):
