@@ -49,6 +49,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ind"), F.concat(F.lit("pop-"), F.col("label").cast("string")).alias("stratum"))
 
 
+def panel(spark: SparkSession, individuals: int = 1318, loci: int = 926) -> DataFrame:
+    """ind, locus, a1, a2 of a made-up biallelic panel with about 11 % missing cells, at the size of the published baseline."""
+    cells = spark.range(individuals * loci).select(F.floor(F.col("id") / loci).cast("int").alias("ind"), (F.col("id") % loci).cast("int").alias("locus"))
+    draw = F.pmod(F.xxhash64("ind", "locus"), F.lit(100))
+    a1 = F.when(draw < 11, 0).when(draw < 80, 1).otherwise(2)
+    a2 = F.when(draw < 11, 0).when(draw < 50, 1).otherwise(2)
+    return cells.select("ind", "locus", a1.alias("a1"), a2.alias("a2"))
+
+
 def families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Families (customers; one in seven without a mother), offspring (their orders) and genotypes of both."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")

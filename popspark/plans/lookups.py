@@ -280,3 +280,9 @@ def streamed_allele_counts(spark, d):
     q = streaming.running_counts(spark.readStream.schema(held.schema).parquet(path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query()
+def panel_distance_1318x926(spark, d):
+    """All pairwise distances of a panel of the baseline's size: 868 thousand pairs, 804 million scored terms at most."""
+    return distance.genetic_distance(domain.panel(spark))
