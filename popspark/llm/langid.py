@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_ROWS, ROUNDS, SMOOTHING, MOST_PIECE = 400, 4, 0.05, 12
+#: Under this posterior a text counts as undecided: about as likely in three languages or more.
+LEAST_SCORE = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words remembered by a worker; a word costs about 150 bytes.
 REMEMBERED = 300_000
@@ -58,12 +60,6 @@ class Model:
         self._rows: dict[str, int] = {}
         self._logs = np.zeros((0, len(names)), np.float32)
 
-    def __getstate__(self):
-        return self.names, self.pieces, self.probs
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
     def tables(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """By length: sorted pieces (as fixed-width text) and their rows in probs."""
         if self._tables is None:
@@ -236,10 +232,12 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, train_rows: int = TRAIN
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with two columns for language and score, a row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast({"parts": (model.names, model.pieces, model.probs)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value  # its remembered words last as long as the worker
+        held = shared.value  # a worker keeps it between tasks, and with it the words it has scored
+        m = held.setdefault("model", None) or Model(*held["parts"])
+        held["model"] = m
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -257,7 +255,7 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def accept(docs: DataFrame, vocabulary: str = VOCABULARY, least: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, vocabulary: str = VOCABULARY, least: float = LEAST_SCORE) -> DataFrame:
     """docs without the rows whose language can't be told: `und`, or a score under `least`."""
     model = train(docs, vocabulary)
     own = ("_lang_pred", "_lang_score")

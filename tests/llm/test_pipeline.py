@@ -39,7 +39,7 @@ def test_stages_in_turn(spark, sf, tmp_path):
     given = [r.asDict() for r in docs.collect()]
     told = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}
     df, rows = run("language_id", docs)
-    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in given if told[r["doc_id"]].lang_pred != "und" and told[r["doc_id"]].score >= 0.5)
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in given if told[r["doc_id"]].lang_pred != "und" and told[r["doc_id"]].score >= langid.LEAST_SCORE)
     assert {r["doc_id"] for r in given} - {r["doc_id"] for r in rows} == {70001, 70002}
 
     ids, fps = [r["doc_id"] for r in rows], [plain_fingerprint(r["text"]) for r in rows]
