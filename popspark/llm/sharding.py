@@ -1,7 +1,7 @@
 """Sharding by proportional stratified interleaving.
 
-Rows are shuffled by a seeded hash and ranked within their source; row r of a
-source of n rows gets the fraction (2r + 1) / 2n. All rows in the order of their
+Rows are shuffled by a seeded hash, set apart by a stride (so that copies of a row
+are not neighbours), and ranked within their source; row r of a source of n rows gets the fraction (2r + 1) / 2n. All rows in the order of their
 fractions (ties by source) form one sequence in which every stretch matches the
 mixture, and it is cut into shards whose row counts differ by one at most (the
 law is `rows`). The slot is the place within the shard.
@@ -70,6 +70,8 @@ def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1)
     ranked = ranked.join(firsts, (ranked["_source"] == firsts["_s"]) & (ranked["_bin"] == firsts["_b"])).withColumn("_rank", F.col("_rank") + F.col("_first")).drop("_s", "_b", "_first")
 
+    ranked = ranked.withColumn("_rank", _spread(total))
+
     if sizes.count() <= most_sources:
         place = F.lit(0).cast("long")
         # Products of two row counts: longs while they fit, decimals beyond.
@@ -93,6 +95,25 @@ def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int
     return placed.select("_row.*", shard.alias("shard"), slot.alias("slot"))
 
 
+# Primes just under 2^31, for strides.
+STRIDES = (2147483647, 2147483629, 2147483587, 2147483579)
+
+
+def _spread(total: int) -> Column:
+    """_rank times a stride, modulo _n: a bijection, as a prime beyond _n has no factor in common with it.
+
+    Copies of one row have one hash and so neighbouring ranks; the stride sets them
+    apart. The first prime whose remainder is between a fifth and four fifths of _n
+    serves, else the first that does not divide _n.
+    """
+    fair = [F.when((p % F.col("_n") * 5 >= F.col("_n")) & (p % F.col("_n") * 5 <= 4 * F.col("_n")), p % F.col("_n")) for p in map(F.lit, STRIDES)]
+    any_of = [F.when(p % F.col("_n") != 0, p % F.col("_n")) for p in map(F.lit, STRIDES)]
+    stride = F.coalesce(*fair, *any_of, F.lit(1)).cast("long")
+    if total > 2_000_000_000:
+        return (F.col("_rank").cast("decimal(19,0)") * stride.cast("decimal(19,0)") % F.col("_n").cast("decimal(19,0)")).cast("long")
+    return F.col("_rank") * stride % F.col("_n")
+
+
 def _by_sorting(ranked: DataFrame, total: int, bin_rows: int) -> DataFrame:
     """_place by sorting the fractions in bins."""
     bins = min(-(-total // bin_rows), MOST_BINS)

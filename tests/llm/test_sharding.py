@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from popspark.llm import sharding
 
@@ -50,6 +51,20 @@ def test_digest_and_edge_cases(spark, sf):
     assert sorted(str(r["_rank"]) for r in clash) == ["1"] * len(rows) and all(r["_source"] == r.doc_id and 0 <= r.shard < 24 for r in clash)
 
 
+def test_copies_stand_apart(spark):
+    df = spark.createDataFrame([(i // 3, f"text {i // 3}", f"s{i // 3 % 2}") for i in range(600)], "doc_id long, text string, source string")
+    rows = sorted(sharding.assign(df, 4).collect(), key=lambda r: (r.shard, r.slot))
+    assert not any(a.doc_id == b.doc_id for a, b in zip(rows, rows[2:])) and not any(a.doc_id == b.doc_id for a, b in zip(rows, rows[1:]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 77, 1000, 2**20])
+def test_strides_are_bijections(spark, n):
+    ranks = spark.range(n).select(F.col("id").alias("_rank"), F.lit(n).cast("long").alias("_n"))
+    for total in (n, 3_000_000_000):
+        out = ranks.select(sharding._spread(total).alias("r")).agg(F.count_distinct("r").alias("k"), F.min("r").alias("lo"), F.max("r").alias("hi")).first()
+        assert (out.k, out.lo, out.hi) == (n, 0, n - 1)
+
+
 def test_written_shards(spark, sf, tmp_path):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     sharding.write_shards(df, str(tmp_path / "shards"), shards=3)
