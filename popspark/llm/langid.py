@@ -210,13 +210,14 @@ def _held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from about train_rows learnable rows of each language."""
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
+    # Counting reads no text; rows without text only make the sample a little smaller.
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
     per = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not per:
         return Model([], [], np.zeros((0, 0)))
     spread = 1 << 30
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(spread, round(spread * train_rows / n)))]), F.col("lang"))
-    sample = usable.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(spread)) < share)
+    sample = usable.where(F.col("text").isNotNull()).where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(spread)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
