@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import LOWER, SPACE_RUN, UPPER, drop_scratch, materialise, scratch
 
 RADIUS = 2
@@ -219,14 +220,22 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group: that with the smallest doc_id.
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near copies (see similar): that with the smallest doc_id.
 
     Of several rows with the kept doc_id one stays. Rows without doc_id can't be
     told apart by it: of those, only exact repeats go.
     """
-    groups = near_duplicates(docs, radius)
-    kept = materialise(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows")), "simhash-kept")
+    path = scratch(docs.sparkSession, "similar-sets")
+    similar.shingle_sets(docs).write.option("compression", "zstd").parquet(path)
+    sets = docs.sparkSession.read.parquet(path)
+    roots = similar.similar_keys(sets, docs, connected_components)
+    first = sets.groupBy("key").agg(F.min("doc_id").alias("first"))
+    named = first.join(roots, first.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    ids = named.groupBy("root").agg(F.min("first").alias("kept_id")).where("kept_id is not null").groupBy("kept_id").agg(F.count("*").alias("groups"))
+    rows = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = materialise(ids.join(rows, ids.kept_id == rows.doc_id).select("kept_id", "rows"), "similar-kept")
+    drop_scratch(docs.sparkSession, path)
     out = docs.join(kept.where("rows = 1"), docs["doc_id"] == kept["kept_id"], "left_semi")
     if kept.where("rows > 1").limit(1).count():
         out = out.unionByName(docs.join(kept.where("rows > 1"), docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]))
