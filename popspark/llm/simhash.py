@@ -223,20 +223,20 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies (see similar): that with the smallest doc_id.
 
-    Of several rows with the kept doc_id one stays. Rows without doc_id can't be
-    told apart by it: of those, only exact repeats go.
+    A null doc_id comes last; of several rows with the kept doc_id, that with
+    the smallest row_hash stays, and of exact repeats of that row one.
     """
     path = scratch(docs.sparkSession, "similar-sets")
     similar.shingle_sets(docs).write.option("compression", "zstd").parquet(path)
     sets = docs.sparkSession.read.parquet(path)
     roots = similar.similar_keys(sets, docs, connected_components)
-    first = sets.groupBy("key").agg(F.min("doc_id").alias("first"))
-    named = first.join(roots, first.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first").alias("kept_id")).where("kept_id is not null").groupBy("kept_id").agg(F.count("*").alias("groups"))
-    rows = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = materialise(ids.join(rows, ids.kept_id == rows.doc_id).select("kept_id", "rows"), "similar-kept")
+    each = sets.groupBy("key", "doc_id", "row_hash").agg(F.count("*").alias("rows"))
+    best = each.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash", "rows")).alias("best"))
+    named = best.join(roots, best.key == roots.node, "left").select("best", F.coalesce("root", "key").alias("root"))
+    kept = materialise(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("kept_id"), F.col("best.row_hash").alias("kept_hash"), F.col("best.rows").alias("kept_rows")), "similar-kept")
     drop_scratch(docs.sparkSession, path)
-    out = docs.join(kept.where("rows = 1"), docs["doc_id"] == kept["kept_id"], "left_semi")
-    if kept.where("rows > 1").limit(1).count():
-        out = out.unionByName(docs.join(kept.where("rows > 1"), docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates())
+    same = (similar.row_hash(docs) == kept["kept_hash"]) & docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"])
+    out = docs.join(kept.where("kept_rows = 1"), same, "left_semi")
+    if kept.where("kept_rows > 1").limit(1).count():
+        out = out.unionByName(docs.join(kept.where("kept_rows > 1"), same, "left_semi").dropDuplicates())
+    return out

@@ -59,3 +59,13 @@ def test_keep_first_against_all_pairs(spark, sf):
     assert kept == plain_kept(rows)
     # Edited copies go that the fingerprints of three-word shingles at two bits keep.
     assert len(kept) < len({r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
+
+
+def test_rows_with_repeated_or_no_id(spark):
+    long = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    near = long[1].replace("b29", "other")
+    rows = [(1, long[0], "x"), (1, long[1], "x"), (2, near, "x"), (3, long[2], "x"), (3, long[3], "x"), (0, long[3], "y"), (None, long[4], "x"), (None, long[4], "y"), (None, long[4] + " tail", "z"), (None, long[0], "x"), (9, long[5], "x"), (9, long[5], "x")]
+    for part in (1, 5):
+        got = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(part)).collect()]
+        assert sorted(r for r in got if r[0] is not None) == sorted([rows[0], rows[1], rows[3], rows[5], rows[10]])
+        assert len([r for r in got if r[0] is None]) == 1 and got[[r[0] for r in got].index(None)][1].startswith(long[4])
