@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
 Candidate blocks are runs of lines in which trigger words stand (with at most
-`gap` other lines between them). A block is compressed alone and with each
+`gap` other lines between them) and the words around them, as many as a notice may have. A block is compressed alone and with each
 template as a raw-content zstandard dictionary; templates are ranked by the share
-of the block's compressed size that the dictionary saves. The winners are
+of the block's compressed size that the dictionary saves. All are
 confirmed by their wording: the template's words are aligned with the block's
 words around their common word pairs, and the words missing, extra or changed are
 counted. A confirmed span is cut out and what is left and right of it is
@@ -18,6 +18,7 @@ ignored; an empty table gives no rows. Documents without findings have no row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -26,8 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_SAVING, MOST_DIFFERENCE, RANKED, GAP = 0.2, 0.25, 4, 8
-TRIGGERS = r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|public domain"
+LEAST_SAVING, MOST_DIFFERENCE, GAP = 0.2, 0.25, 8
+TRIGGERS = r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|public\s+domain|unencumbered|mozilla"
 
 # Public license notices, by SPDX identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -54,29 +55,40 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
-WORD = re.compile(r"[\w.+-]*\w")
+#: A word broken at its hyphen goes on in the next line.
+WORD = re.compile(r"(?:[\w.+-]|(?<=\w-)\n[ \t]*(?=\w))*\w")
+#: A notice may go on so many words beyond the line of its trigger word: a quarter more than the longest template has.
+REACH = max(len(WORD.findall(t)) for _, t in TEMPLATES) * 5 // 4
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
     """(lower-case word, start, end) of each word."""
-    return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
-
-
-def blocks(text: str, gap: int = GAP) -> list[tuple[int, int]]:
-    """(start, end) of the runs of lines that hold trigger words."""
+    return [("".join(m[0].split()).lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+
+
+def blocks(text: str, gap: int = GAP, reach: int = REACH) -> list[tuple[int, int]]:
+    """(start, end) of the runs of lines that hold trigger words, with reach words on both sides."""
+    runs: list[list[int]] = []
+    last = 0
+    for m in re.finditer(TRIGGERS, text):
+        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        b = len(text) if b < 0 else b
+        if runs and text.count("\n", last, a) <= gap + 1:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+        last = runs[-1][1]
+    if not runs:
+        return []
+    starts, ends = zip(*[m.span() for m in WORD.finditer(text)], strict=True)
     out: list[list[int]] = []
-    at, since = 0, gap + 1
-    trigger = re.compile(TRIGGERS)
-    for line in text.split("\n"):
-        if trigger.search(line):
-            if since <= gap:
-                out[-1][1] = at + len(line)
-            else:
-                out.append([at, at + len(line)])
-            since = 0
+    for a, b in runs:
+        i, j = max(0, bisect_left(starts, a) - reach), min(len(ends), bisect_right(ends, b) + reach) - 1
+        a, b = min(a, starts[i] if i < len(starts) else a), max(b, ends[j])
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
         else:
-            since += 1
-        at += len(line) + 1
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
@@ -128,7 +140,7 @@ class Scanner:
                 continue
             found = words(block)
             sure = None
-            for saving, minus in self.ranked(block)[:RANKED]:
+            for saving, minus in self.ranked(block):
                 place = self.differences(-minus, found)
                 if place is None or place[2] > MOST_DIFFERENCE * len(self.words[-minus]):
                     continue
