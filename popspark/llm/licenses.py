@@ -109,6 +109,11 @@ class Scanner:
         whole = len(self.alone.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / whole, -i) for i, c in enumerate(self.given)), reverse=True)
 
+    def saving(self, i: int, span: str) -> float:
+        """The share that template i saves of a confirmed span alone, whatever stands around it."""
+        raw = span.encode("utf-8", "replace")
+        return 1 - len(self.given[i].compress(raw)) / len(self.alone.compress(raw))
+
     def differences(self, i: int, found: list[tuple[str, int, int]]) -> tuple[int, int, int] | None:
         """(first word, past the last word, words that differ) of the best place of template i among the words found."""
         want, pairs = self.words[i], self.pairs[i]
@@ -146,6 +151,12 @@ class Scanner:
                     continue
                 if sure is None or (place[2] / len(self.words[-minus]), -saving) < (sure[1][2] / len(self.words[-sure[0][1]]), -sure[0][0]):
                     sure = ((saving, minus), place)
+            if sure is not None:
+                (_, minus), (first, past, differ) = sure
+                start, end = found[first][1], found[past - 1][2]
+                saving = self.saving(-minus, block[start:end])
+                if saving < LEAST_SAVING and differ:
+                    sure = None
             if sure is None:
                 # A short notice in a long block saves little of it: look at its lines, then sentences.
                 finer = [m.span() for m in re.finditer(r"[^\n]+", block)]
@@ -154,10 +165,6 @@ class Scanner:
                 if len(finer) > 1:
                     todo += [(a + x, a + y) for x, y in finer]
                 continue
-            (saving, minus), (first, past, differ) = sure
-            start, end = found[first][1], found[past - 1][2]
-            if saving < LEAST_SAVING and differ:
-                continue
             out.append((a + start, a + end, self.templates[-minus][0], -minus, round(saving, 6), differ, len(self.words[-minus])))
             todo += [(a, a + start), (a + end, b)]
         return sorted(out)
