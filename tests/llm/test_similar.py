@@ -39,6 +39,17 @@ def test_shingles_match_sets():
             assert len(set(a) & set(b)) == len(plain_set(t) & plain_set(u))
 
 
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    for n in (1, 7, 60, 3000):
+        text = [rng.choice(words) for _ in range(n)]
+        other = [rng.choice(words) if rng.random() < 0.05 else w for w in text]
+        a, b = similar.shingles(" ".join(text)), similar.shingles(" ".join(other))
+        differ = sum((int(x) ^ int(y)).bit_count() for x, y in zip(similar.sketch(a).view("u8"), similar.sketch(b).view("u8"), strict=True))
+        assert differ <= len(set(a) ^ set(b))
+
+
 def test_keep_first_against_all_pairs(spark, sf):
     rng = random.Random(3)
     rows = [tuple(r) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").limit(300).collect()]
