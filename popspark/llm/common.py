@@ -58,6 +58,18 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """XXH64 of all columns that can be hashed."""
+    return F.xxhash64(*[docs[f"`{name}`"] for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores before it as no column of taken has."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def hash_unit(seed: str, *cols: Column) -> Column:
     """A number in (0, 1) from the md5 of seed and columns; null counts as the empty string."""
     digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))

@@ -18,10 +18,10 @@ The document at which the sum passes the rest is taken if more than half of it
 fits, so a source ends within half a document of its target.
 
 Nulls and edge cases: null text has size 0 and is taken as often as its source is
-whole; a null source is one source, ordered last; a null or non-positive weight
+whole, or once more if its key comes before the cut; a null source is one source, ordered last; a null or non-positive weight
 counts as 1; equal keys are ordered by doc_id; repeated rows draw the same key and
 are ordered arbitrarily among themselves, each counted; an empty table gives no
-rows; extra columns are kept by `mix` (names of its own columns are reserved).
+rows; extra columns are kept by `mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_unit, materialise, split_words
+from .common import hash_unit, materialise, row_hash, split_words
 
 SHARE, MOST_EPOCHS, SEED, BINS = 1.5, 2, "mix-1", 128
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -113,12 +113,31 @@ def prepare(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(best, rows["doc_id"] == best["label_id"], "left").select("doc_id", "source", "size", "text_hash", quality.alias("quality"))
 
 
+#: A row that is due more often is repeated in pieces of so many.
+REPEATS = 10_000
+
+
 def mix(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
-    """docs, each row as often as the mix takes it (columns of docs only)."""
-    chosen = plan(prepare(docs, labels), **options).groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
+    """docs, each row as often as the mix takes it (columns of docs only).
+
+    Rows equal in doc_id, text and source share what these rows take together; of
+    what does not divide evenly, the rows with the smallest row_hash get one more.
+    """
+    taken = plan(prepare(docs, labels), **options).groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("source").alias("mix_source"))
+    chosen = materialise(taken.agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0"), "mix-chosen")
     # The row travels as one struct, so none of its names can clash with those used here.
-    rows = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("doc_id").alias("own_id"), text_hash(F.col("text")).alias("own_hash"))
-    joined = rows.join(chosen.where("mix_copies > 0"), F.col("own_id").eqNullSafe(F.col("mix_id")) & (F.col("own_hash") == F.col("mix_hash")))
-    # Rows equal in doc_id and text share what they were given; an odd copy among them is left out.
-    times = F.floor(F.col("mix_copies") / F.col("mix_rows")).cast("int")
-    return joined.select("mix_row", F.explode(F.array_repeat(F.lit(1), times)).alias("mix_n")).select("mix_row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("doc_id").alias("own_id"), text_hash(F.col("text")).alias("own_hash"), F.col("source").alias("own_source"), row_hash(docs).alias("own_row"))
+    same = F.col("own_id").eqNullSafe(F.col("mix_id")) & (F.col("own_hash") == F.col("mix_hash")) & F.col("own_source").eqNullSafe(F.col("mix_source"))
+    out = rows.join(chosen.where("mix_rows = 1"), same).select("mix_row", F.col("mix_copies").alias("times"))
+    shared = chosen.where("mix_rows > 1")
+    if shared.limit(1).count():
+        key = ["own_id", "own_hash", "own_source"]
+        met = rows.join(shared, same)
+        alike = met.groupBy(*key, "own_row").agg(F.count("*").alias("alike"), F.min("mix_copies").alias("copies"), F.min("mix_rows").alias("rows"))
+        before = F.coalesce(F.sum("alike").over(Window.partitionBy(*key).orderBy("own_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        extra = F.least(F.greatest(F.expr("copies % rows") - before, F.lit(0)), F.col("alike"))
+        due = alike.select(F.col("own_id").alias("mix_id"), F.col("own_hash").alias("mix_hash"), F.col("own_source").alias("mix_source"), F.col("own_row").alias("due_row"), (F.expr("copies div rows") * F.col("alike") + extra).alias("times"))
+        once = rows.join(due.where("times > 0"), same & (F.col("own_row") == F.col("due_row"))).dropDuplicates([*key, "own_row"])
+        out = out.unionByName(once.select("mix_row", "times"))
+    pieces = out.select("mix_row", "times", F.explode(F.sequence(F.lit(0), F.expr(f"(times - 1) div {REPEATS}"))).alias("piece"))
+    return pieces.select("mix_row", F.explode(F.array_repeat(F.lit(1), F.least(F.lit(REPEATS), F.col("times") - F.col("piece") * REPEATS).cast("int")))).select("mix_row.*")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import LOWER, SPACE_RUN, UPPER, drop_scratch, materialise, scratch
+from .common import LOWER, SPACE_RUN, UPPER, drop_scratch, materialise, row_hash, scratch
 
 RADIUS = 2
 SHINGLE = 3
@@ -235,7 +235,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     named = best.join(roots, best.key == roots.node, "left").select("best", F.coalesce("root", "key").alias("root"))
     kept = materialise(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("kept_id"), F.col("best.row_hash").alias("kept_hash"), F.col("best.rows").alias("kept_rows")), "similar-kept")
     drop_scratch(docs.sparkSession, path)
-    same = (similar.row_hash(docs) == kept["kept_hash"]) & docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"])
+    same = (row_hash(docs) == kept["kept_hash"]) & docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"])
     out = docs.join(kept.where("kept_rows = 1"), same, "left_semi")
     if kept.where("kept_rows > 1").limit(1).count():
         out = out.unionByName(docs.join(kept.where("kept_rows > 1"), same, "left_semi").dropDuplicates())

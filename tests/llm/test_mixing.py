@@ -86,6 +86,21 @@ def test_mix_repeats_rows_and_empty(spark, sf):
     assert {r.mix_n for r in out.collect()} <= {1, 2, 3} and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_gives_equal_rows_all_their_copies(spark):
+    rows = [(1, "a b c d", "s", k % 2) for k in range(5)] + [(1, "a b c d", "t", 0)] * 3 + [(i, f"w{i} x y z", "s", 0) for i in range(10, 40)] + [(None, None, "t", 0)] * 4 + [(50, "u v", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    for share in (0.7, 1.0, 1.5, 1.9):
+        want = {}
+        for r in mixing.plan(mixing.prepare(df, None), share=share).collect():
+            want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.copies
+        got, by_row = {}, {}
+        for r in mixing.mix(df, share=share).collect():
+            got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+            by_row[r] = by_row.get(r, 0) + 1
+        assert got == {k: v for k, v in want.items() if v}
+        assert by_row == {} or max(v for r, v in by_row.items() if r.source == "s") <= 6
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 1000, None: 5}, {"a": 1}, {"a": 0, "b": 0}, {"x": 3, "y": 1_000_000, "z": 7, "w": 9}])
 def test_water_level(spark, sizes):
     got = mixing.targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long"))
