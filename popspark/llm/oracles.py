@@ -77,7 +77,8 @@ CASE WHEN page_id IS NOT DISTINCT FROM keeper OR keeper IS NULL THEN 'response'
 SHARD = """
 WITH tb AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i::BIGINT)) AS t),
 d AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-c AS MATERIALIZED (SELECT doc_id, source, strlen(text) + 8 AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32, ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM d, tb),
+c0 AS MATERIALIZED (SELECT doc_id, source, strlen(text) + 8 AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM d, tb),
+c AS (SELECT *, ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || text_crc32::VARCHAR), 1, 15))::BIGINT AS h FROM c0),
 q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM c),
 r AS (SELECT *, (k * coalesce(list_filter(list_transform([2147483647, 2147483629, 2147483587, 2147483579], lambda s: s % n), lambda s: s * 5 >= n AND s * 5 <= 4 * n)[1], list_filter(list_transform([2147483647, 2147483629, 2147483587, 2147483579], lambda s: s % n), lambda s: s <> 0)[1], 1)) % n AS rk FROM q),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * rk + 1) / (2 * n), source NULLS LAST) - 1 AS place, count(*) OVER () AS total FROM r),

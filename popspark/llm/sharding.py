@@ -15,9 +15,10 @@ With at most `most_sources` sources this is summed up row by row; with more, row
 are sorted by fraction, again in bins (fractions are evenly spread).
 
 Nulls and edge cases: a null source is a source of its own, ordered last; a null
-text has no bytes and crc32 0; equal hash and doc_id are ordered by the text's
-crc32, and rows equal in all of these are interchangeable; a null doc_id hashes as
-the empty string; extra columns are kept by `assign`, whatever their names, and
+text has no bytes and crc32 0; a null doc_id hashes as the empty string, and the
+text's crc32 is part of the hash, so rows that share a doc_id or have none are
+spread like others; rows equal in hash, doc_id and crc32 are ordered by the hash of
+the whole row, and rows equal in all of these are interchangeable; extra columns are kept by `assign`, whatever their names, and
 earlier columns `shard` and `slot` are replaced; an empty table gives no rows; fewer rows than shards leave the last
 shards empty.
 """
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, row_hash
 
 SHARDS, SEED, BIN_ROWS, MOST_BINS, MOST_SOURCES = 24, 7, 2000, 100_000, 256
 
@@ -40,19 +41,22 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def shuffled(doc_id: Column, seed: int) -> Column:
-    """60 bits of md5 of seed and id: the place in the seeded shuffle."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def shuffled(doc_id: Column, crc: Column, seed: int) -> Column:
+    """60 bits of md5 of seed, id and the text's crc32: the place in the seeded shuffle."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), crc.cast("string")))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int = BIN_ROWS, most_sources: int = MOST_SOURCES) -> DataFrame:
-    """df with shard (0 to shards - 1) and slot (from 0, gapless within a shard) in place of columns so named."""
+def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int = BIN_ROWS, most_sources: int = MOST_SOURCES, crc: Column | None = None) -> DataFrame:
+    """df with shard (0 to shards - 1) and slot (from 0, gapless within a shard) in place of columns so named.
+
+    crc stands in for the crc32 of `text` where that is known already.
+    """
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     # The row travels as one struct, so none of its names can clash with those used here.
-    df = df.select(F.struct(*kept).alias("_row"), F.col("source").cast("string").alias("source"), "doc_id", text_crc32(F.col("text").cast("string")).alias("_order"))
+    df = df.select(F.struct(*kept).alias("_row"), F.col("source").cast("string").alias("source"), "doc_id", (text_crc32(F.col("text").cast("string")) if crc is None else crc).alias("_order"), row_hash(df).alias("_last"))
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))  # null last
-    order = shuffled(F.col("doc_id"), seed)
+    order = shuffled(F.col("doc_id"), F.col("_order"), seed)
     slim = df.select(source.alias("_source"), order.alias("_hash"))
     total = df.count()
     if not total:
@@ -66,7 +70,7 @@ def assign(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int
     firsts = materialise(firsts.join(sizes, firsts["_s"] == sizes["_source"]).select("_s", "_b", "_first", "_n"), "shard-firsts")
 
     keyed = df.withColumn("_source", source).withColumn("_hash", order).withColumn("_bin", bin_of)
-    within = Window.partitionBy("_source", "_bin").orderBy("_hash", "doc_id", "_order")
+    within = Window.partitionBy("_source", "_bin").orderBy("_hash", "doc_id", "_order", "_last")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1)
     ranked = ranked.join(firsts, (ranked["_source"] == firsts["_s"]) & (ranked["_bin"] == firsts["_b"])).withColumn("_rank", F.col("_rank") + F.col("_first")).drop("_s", "_b", "_first")
 
@@ -141,6 +145,5 @@ def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     slim = docs.select("doc_id", "source", "text").withColumn("size", text_bytes(text) + 8)
     slim = slim.withColumn("text_crc32", text_crc32(text))
     slim = slim.select("doc_id", "source", "size", "text_crc32")
-    slim = materialise(slim, "shard-rows").withColumn("text", F.lit(None).cast("string"))
-    out = assign(slim, shards)
+    out = assign(materialise(slim, "shard-rows"), shards, crc=F.col("text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -51,6 +52,17 @@ def test_digest_and_edge_cases(spark, sf):
     assert sorted(str(r["_rank"]) for r in clash) == ["1"] * len(rows) and all(r["_source"] == r.doc_id and 0 <= r.shard < 24 for r in clash)
 
 
+def test_same_places_for_any_order_of_the_rows(spark):
+    rows = [(i % 40 if i % 3 else None, f"text {i % 150}", f"s{i % 3}") for i in range(600)]
+    places = []
+    for seed in (1, 2, 3):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        df = spark.createDataFrame(shuffled, "doc_id long, text string, source string").repartition(seed)
+        places.append(sorted(map(str, (tuple(r) for r in sharding.digest(df).collect()))))
+        places.append(sorted(map(str, ((r.doc_id, len(r.text) + 8, zlib.crc32(r.text.encode()), "rows", r.shard, r.slot, None) for r in sharding.assign(df).collect()))))
+    assert all(p == places[0] for p in places)
+
+
 def test_copies_stand_apart(spark):
     df = spark.createDataFrame([(i // 3, f"text {i // 3}", f"s{i // 3 % 2}") for i in range(600)], "doc_id long, text string, source string")
     rows = sorted(sharding.assign(df, 4).collect(), key=lambda r: (r.shard, r.slot))
