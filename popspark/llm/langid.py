@@ -1,6 +1,6 @@
 """Language identification by segmentation-marginalised unigrams.
 
-A text is its runs of letters, lower-cased. Over a fixed public vocabulary of
+A text is its runs of letters (Unicode's categories L), lower-cased. Over a fixed public vocabulary of
 pieces each language has a probability for each piece. The probability of a word
 is the sum over all its segmentations into pieces of the product of their
 probabilities, by a forward pass over the word's positions; a text's log
@@ -14,10 +14,14 @@ each language (whole texts), chosen by a hash of doc_id, so its bound is a
 parameter. The vocabulary is read on the driver; pieces with their probabilities
 (at most the vocabulary's size) go to the executors.
 
+`accept` also rejects texts that fit no learned language: each language's training
+texts give the mean log probability a letter that all but MISFITS of them exceed,
+and a text more than MARGIN below that of its best language goes.
+
 Nulls and edge cases: null text and text without a letter are `und`, score 0; a
 null lang is not learned from; with nothing to learn from every text is `und`,
 score 0; a null doc_id is neither held out nor learned from; ties of languages go
-to the first by name; repeated rows are scored alike; very long words are scored
+to the first by name; repeated rows are scored alike; very long words are scored and learned from
 whole; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -33,10 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh_name
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_ROWS, ROUNDS, SMOOTHING, MOST_PIECE = 400, 4, 0.05, 12
 #: Under this posterior a text counts as undecided: about as likely in three languages or more.
 LEAST_SCORE = 0.3
+#: A training text in so many fits worse than the bound that a language keeps, and a text may fit worse by so much (nats a letter).
+MISFITS, MARGIN = 0.01, 1.0
+#: Runs of letters and of numerals that are no digits; `count_words` takes the numerals out.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words remembered by a worker; a word costs about 150 bytes.
 REMEMBERED = 300_000
@@ -51,8 +60,18 @@ def read_vocabulary(path: str = VOCABULARY) -> list[str]:
     return sorted(p for p in pieces if len(p) <= MOST_PIECE and LETTERS.fullmatch(p))
 
 
+def count_words(text: str | None) -> Counter:
+    """The words of a text, runs of letters in lower case, and how often each stands there."""
+    out = Counter(LETTERS.findall(text.lower())) if text else Counter()
+    for w in [w for w in out if not w.isalpha()]:
+        n = out.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            out[part] += n
+    return out
+
+
 class Model:
-    """Piece probabilities of each language: names, pieces, probs[piece, language], and the floor for an unknown letter."""
+    """Piece probabilities of each language: names, pieces, probs[piece, language]."""
 
     def __init__(self, names: list[str], pieces: list[str], probs: np.ndarray):
         self.names, self.pieces, self.probs = names, pieces, probs
@@ -125,11 +144,11 @@ class Model:
                 out[part] = self.forward(_codes([words[j] for j in part], int(n)))[0]
         return out
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The best language and its score for each text."""
-        counts = [Counter(LETTERS.findall(t.lower())) if t else {} for t in texts]
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
+        """The best language, its score and its mean log probability a letter for each text."""
+        counts = [count_words(t) for t in texts]
         if not self.names:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
         rows = self._rows
         missing = list({w for c in counts for w in c if w not in rows})
         if len(rows) + len(missing) > REMEMBERED:
@@ -139,18 +158,20 @@ class Model:
         if missing:
             rows.update(zip(missing, range(len(rows), len(rows) + len(missing)), strict=True))
             self._logs = np.concatenate([self._logs, self.words(missing).astype(np.float32)])
-        langs, scores = [], []
+        langs, scores, fits = [], [], []
         for c in counts:
             if not c:
                 langs.append("und")
                 scores.append(0.0)
+                fits.append(None)
                 continue
             n = np.fromiter(c.values(), np.float64, len(c))
             total = n @ self._logs[np.fromiter(map(rows.__getitem__, c), np.int64, len(c))]
             best = int(np.argmax(total))
             langs.append(self.names[best])
             scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-        return langs, scores
+            fits.append(float(total[best]) / sum(len(w) * k for w, k in c.items()))
+        return langs, scores, fits
 
 
 def _codes(words: list[str], n: int) -> np.ndarray:
@@ -177,10 +198,11 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
     for _ in range(rounds if names else 0):
         expected = np.zeros((len(pieces) + 1, len(names)))
         probs = model.table()
-        for n in np.unique(lengths[lengths <= 40]):
+        for n in np.unique(lengths):
             rows = np.flatnonzero(lengths == n)
-            for i in range(0, len(rows), 20_000):
-                part = rows[i : i + 20_000]
+            step = max(1, 800_000 // int(n))
+            for i in range(0, len(rows), step):
+                part = rows[i : i + step]
                 _expect(model, probs, _codes([words[j] for j in part], int(n)), times[part], expected)
         counted = expected[:-1] + smoothing
         model.probs = counted / counted.sum(axis=0)
@@ -188,18 +210,30 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
 
 
 def _expect(model: Model, probs: np.ndarray, codes: np.ndarray, times: np.ndarray, expected: np.ndarray) -> None:
-    """Add the words' expected piece counts: forward times backward over the whole."""
+    """Add the words' expected piece counts: forward times backward over the whole, in logarithms, so that a word of any length counts."""
     found = model.forward(codes)[1]
     count, length = codes.shape
-    alpha, beta = np.zeros((length + 1, count, probs.shape[1])), np.zeros((length + 1, count, probs.shape[1]))
-    alpha[0], beta[length] = 1.0, 1.0
+    ahead, back = np.zeros((length + 1, count, probs.shape[1])), np.zeros((length + 1, count, probs.shape[1]))
+    by_end: dict[int, list] = {}
+    by_start: dict[int, list] = {}
+    for x in found:
+        by_end.setdefault(x[1], []).append(x)
+        by_start.setdefault(x[0], []).append(x)
+    for end in range(1, length + 1):  # each letter is a piece, so the place before has been reached
+        total = np.zeros((count, probs.shape[1]))
+        for start, _, hit, piece in by_end[end]:
+            total[hit] += np.exp(ahead[start, hit] - ahead[end - 1, hit]) * probs[piece]
+        ahead[end] = ahead[end - 1] + np.log(total)
+    for start in range(length - 1, -1, -1):
+        total = np.zeros((count, probs.shape[1]))
+        for _, end, hit, piece in by_start[start]:
+            total[hit] += np.exp(back[end, hit] - back[start + 1, hit]) * probs[piece]
+        back[start] = back[start + 1] + np.log(total)
     for start, end, hit, piece in found:
-        alpha[end, hit] += alpha[start, hit] * probs[piece]
-    for start, end, hit, piece in reversed(sorted(found, key=lambda x: (x[0], x[1]))):
-        beta[start, hit] += beta[end, hit] * probs[piece]
-    whole = np.maximum(alpha[length], 1e-300)
-    for start, end, hit, piece in found:
-        share = alpha[start, hit] * probs[piece] * beta[end, hit] / whole[hit] * times[hit]
+        share = np.exp(ahead[start, hit] + back[end, hit] - ahead[length, hit]) * probs[piece] * times[hit]
+        if len(hit) < 1000:
+            np.add.at(expected, piece, share)
+            continue
         for lang in range(probs.shape[1]):
             expected[:, lang] += np.bincount(piece, share[:, lang], minlength=len(expected))
 
@@ -208,32 +242,52 @@ def _held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, vocabulary: str = VOCABULARY, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from about train_rows learnable rows of each language."""
+def _sample(docs: DataFrame, train_rows: int) -> tuple[DataFrame | None, list[str]]:
+    """lang and text of about train_rows learnable rows of each language; the languages."""
     # Counting reads no text; rows without text only make the sample a little smaller.
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
     per = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not per:
-        return Model([], [], np.zeros((0, 0)))
+        return None, []
     spread = 1 << 30
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(spread, round(spread * train_rows / n)))]), F.col("lang"))
     sample = usable.where(F.col("text").isNotNull()).where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(spread)) < share)
+    return sample.select("lang", F.col("text").cast("string").alias("text")), sorted(per)
+
+
+def train(docs: DataFrame, vocabulary: str = VOCABULARY, train_rows: int = TRAIN_ROWS) -> Model:
+    """A model from about train_rows learnable rows of each language."""
+    sample, names = _sample(docs, train_rows)
+    if sample is None:
+        return Model([], [], np.zeros((0, 0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = Counter((lang, w) for lang, t in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for w in LETTERS.findall(t.lower()))
+            c = Counter()
+            for lang, t in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                c.update({(lang, w): n for w, n in count_words(t).items()})
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "word", "n"])
 
-    words = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    counts: dict[str, dict[str, int]] = {k: {} for k in per}
+    words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, dict[str, int]] = {k: {} for k in names}
     for lang, word, n in zip(*(words.column(i).to_pylist() for i in range(3)), strict=True):
         counts[lang][word] = n
     return fit({k: v for k, v in counts.items() if v}, read_vocabulary(vocabulary))
 
 
-def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with two columns for language and score, a row for each row of docs."""
+def least_fits(docs: DataFrame, model: Model, train_rows: int = TRAIN_ROWS) -> dict[str, float]:
+    """For each language the fit that all but MISFITS of its training texts exceed, less MARGIN."""
+    sample, _ = _sample(docs, train_rows)
+    if sample is None:
+        return {}
+    told = predict(sample, model, ("told", "told_score", "fit")).where("told = lang")
+    return {r.lang: r.low - MARGIN for r in told.groupBy("lang").agg(F.percentile("fit", F.lit(MISFITS)).alias("low")).collect()}
+
+
+def predict(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """docs with columns for language and score, and a third for the mean log probability a letter if it is named."""
     shared = docs.sparkSession.sparkContext.broadcast({"parts": (model.names, model.pieces, model.probs)})
+    kinds = [(pa.string(), T.StringType()), (pa.float64(), T.DoubleType()), (pa.float64(), T.DoubleType())][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value  # a worker keeps it between tasks, and with it the words it has scored
@@ -242,10 +296,10 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                langs, scores = m.score(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, *names])
+                found = m.score(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, k) for x, (k, _) in zip(found, kinds, strict=False)]], names=[*part.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, (_, k) in zip(names, kinds, strict=True)]])
     return docs.mapInArrow(run, schema)
 
 
@@ -257,10 +311,15 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def accept(docs: DataFrame, vocabulary: str = VOCABULARY, least: float = LEAST_SCORE) -> DataFrame:
-    """docs without the rows whose language can't be told: `und`, or a score under `least`."""
+    """docs without the rows whose language can't be told: `und`, a score under `least`, or a fit under that of its language's texts."""
     model = train(docs, vocabulary)
-    own = ("_lang_pred", "_lang_score")
-    if set(own) & set(docs.columns):
-        raise ValueError(f"these column names are reserved: {own}")
-    marked = predict(docs, model, own)
-    return marked.where((F.col(own[0]) != "und") & (F.col(own[1]) >= least)).select(*docs.columns)
+    bounds = least_fits(docs, model)
+    names: list[str] = []
+    for name in ("told", "told_score", "fit"):
+        names.append(fresh_name(name, docs.columns + names))
+    told, score, fits = map(F.col, names)
+    marked = predict(docs, model, tuple(names)).where((told != "und") & (score >= least))
+    if bounds:
+        bound = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(bounds.items()) for x in kv]), told)
+        marked = marked.where(F.coalesce(fits >= bound, F.lit(True)))
+    return marked.select(*[marked[f"`{c}`"] for c in docs.columns])

@@ -37,6 +37,44 @@ def test_expected_counts_match_enumeration():
     assert np.allclose(expected[:3, 0], [3 * both / (both + one), 3 * one / (both + one), 3 * both / (both + one)])
 
 
+def test_expected_counts_of_long_words():
+    pieces, word = ["a", "ab", "b"], "ab" * 600
+    model = langid.Model(["x", "y"], pieces, np.array([[0.5, 0.1], [0.2, 0.8], [0.3, 0.1]]))
+    expected = np.zeros((4, 2))
+    langid._expect(model, model.table(), langid._codes([word], len(word)), np.array([[1.0, 2.0]]), expected)
+    for i, (one, both, n) in enumerate([(0.2, 0.15, 1), (0.8, 0.01, 2)]):  # each "ab" is a piece or two
+        assert np.allclose(expected[:3, i], np.array([both, one, both]) / (one + both) * 600 * n)
+
+
+def test_letters_are_those_of_unicode():
+    assert langid.count_words("² ½ ① Ⅷ 12") == {} and langid.count_words("A²b a\u0301 Ǆ1é") == {"a": 2, "b": 1, "ǆ": 1, "é": 1}
+    model = langid.Model(["x"], ["a"], np.array([[1.0]]))
+    assert model.score(["²½①Ⅷ", None, "", "a²"])[0] == ["und", "und", "und", "x"]
+
+
+def test_predictions_against_plain_recursion(spark):
+    rows = [(i, t, l) for i, (t, l) in enumerate([("abab ba", "x"), ("bba abb", "y"), ("aab", "x"), ("bbb b", "y"), ("ab ab ab", None), ("ba", None), ("", None), ("AB, b!", None), ("ab ab ab", None)])]
+    model = langid.fit({"x": {"abab": 1, "ba": 1, "aab": 1}, "y": {"bba": 1, "abb": 1, "bbb": 1, "b": 1}}, ["ab", "ba", "bb"])
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    for i, text, _ in rows:
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        logs = [sum(math.log(all_segmentations(w, dict(zip(model.pieces, model.probs[:, k])))) for w in words) for k in range(2)]
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        assert got[i].lang_pred == model.names[int(logs[1] > logs[0])]
+        assert math.isclose(got[i].score, 1 / sum(math.exp(x - max(logs)) for x in logs), rel_tol=1e-4)
+
+
+def test_accept_rejects_what_fits_no_language(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    odd = [(90_001, "Съешь же ещё этих мягких французских булок " * 5, None, None, 9), (90_002, "xqjzkvw zzqkxj vvxkqz wqxzkj jqkxzv " * 5, None, None, 9), (90_003, "中文字的文章很长" * 9, None, None, 9)]
+    df = docs.union(spark.createDataFrame(odd, docs.schema)).withColumn("told", F.lit(1)).withColumn("FIT", F.lit("x"))
+    kept = langid.accept(df)
+    assert kept.columns == df.columns
+    assert kept.where("doc_id > 90000").count() == 0 and kept.count() == docs.where(F.col("text").rlike("[a-zA-Z]")).count()
+
+
 def test_held_out_accuracy_and_contract(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     got = langid.digest(docs).collect()

@@ -37,9 +37,10 @@ def test_stages_in_turn(spark, sf, tmp_path):
         return back, [r.asDict() for r in back.collect()]
 
     given = [r.asDict() for r in docs.collect()]
-    told = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}
+    model = langid.train(docs)
+    told, bounds = {r.doc_id: r for r in langid.predict(docs, model, ("lang_pred", "score", "fit")).collect()}, langid.least_fits(docs, model)
     df, rows = run("language_id", docs)
-    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in given if told[r["doc_id"]].lang_pred != "und" and told[r["doc_id"]].score >= langid.LEAST_SCORE)
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in given if told[r["doc_id"]].lang_pred != "und" and told[r["doc_id"]].score >= langid.LEAST_SCORE and told[r["doc_id"]].fit >= bounds[told[r["doc_id"]].lang_pred])
     assert {r["doc_id"] for r in given} - {r["doc_id"] for r in rows} == {70001, 70002}
 
     ids, fps = [r["doc_id"] for r in rows], [plain_fingerprint(r["text"]) for r in rows]
