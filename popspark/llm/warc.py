@@ -1,23 +1,33 @@
 """A deterministic sharded WARC writer, and a reader of what it wrote.
 
-Records are range-sorted by page_id and each task writes its range into gzip
+Records are range-sorted by (page_id, digest, url) and each range is written as gzip
 members, one a record, rolling to a new file once `roll_bytes` compressed bytes
-are reached. Headers, lengths and digests are made anew from the payload. Of pages
+are reached. The ranges come from the data alone, so every run writes the same
+files, however the input is split: a page_id whose hash is 0 modulo the number of
+pages due in a range begins a range, which is of about RANGE_ROLLS x roll_bytes of
+payload; rows of a page_id (or of none) that exceed such a range are cut further,
+by digest. Headers, lengths and digests are made anew from the payload. Of pages
 with equal payloads (SHA-1 and length) the one with the largest page_id is a
 response with the payload; the others are revisits that name it and carry its
-digest and length. Files get temporary names; each task reports what it wrote, the
-reports of the attempts that count are written as a manifest, the driver renames
-those files, and a last rename publishes the manifest. Files of lost or repeated attempts
-are in no manifest, are never read, and go with the temporary folder.
+digest and length.
 
-Storage: any file system that pyarrow opens by URI; driver and executors share it.
+Files get temporary names; each task reports what it wrote, the reports of the
+attempts that count are stored, tasks give those files their names, which follow
+from range and place in it, and a rename publishes the manifest. A file that has
+its name already, from an attempt that was lost, is left as it is. Files of lost or
+repeated attempts are in no manifest, are never read, and go with the temporary
+folder.
+
+Storage: any file system that Hadoop names and pyarrow opens by URI, shared by driver
+and executors; a path without scheme is of the default file system.
 
 Nulls and edge cases: null html is an empty payload; empty payloads are equal to
 each other; a null url leaves out the target header; a null page_id leaves out the
 page header, comes first in the sort, and such a page is a response (named by no
 revisit) unless an equal payload has an id; rows that repeat both the largest page_id and the
-payload are all responses; extra columns are ignored; an empty table writes an
-empty manifest and reads back no rows.
+payload are all responses; rows that repeat page_id, payload and url are in one
+range; extra columns are ignored; an empty table writes an empty manifest and reads
+back no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +40,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +53,8 @@ ROLL_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 READ_BYTES = 1 << 20
+#: Payload bytes of a range, in files' sizes; ranges at most, about (their first page_ids go to all tasks, 8 bytes each).
+RANGE_ROLLS, MOST_RANGES = 4, 1 << 20
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -69,8 +83,17 @@ def make_record(page_id: int | None, url: str | None, payload: bytes | None, dig
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder as a URI with scheme and authority, by Hadoop's rules."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    scheme, _, rest = uri.partition(":")
+    return uri if rest.startswith("//") else f"{scheme}://{rest}"
+
+
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    """The file system and path of a qualified URI."""
+    return pafs.FileSystem.from_uri(uri)
 
 
 class RollingWriter:
@@ -79,8 +102,12 @@ class RollingWriter:
     def __init__(self, folder: str, roll_bytes: int):
         self.fs, self.path = open_folder(folder)
         self.roll_bytes, self.attempt, self.out, self.done = roll_bytes, uuid.uuid4().hex, None, []
+        self.part, self.place = None, 0
 
-    def write(self, first: int | None, record: bytes) -> None:
+    def write(self, part: tuple[int, int], first: int | None, record: bytes) -> None:
+        if part != self.part:
+            self.close()
+            self.part, self.place = part, 0
         if self.out is None:
             self.name, self.hash, self.size, self.records, self.first = f"tmp-{self.attempt}-{len(self.done)}", hashlib.sha256(), 0, 0, first
             self.out = self.fs.open_output_stream(f"{self.path}/{self.name}")
@@ -95,8 +122,9 @@ class RollingWriter:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.done.append((self.name, self.first, self.records, self.size, self.hash.hexdigest()))
-            self.out = None
+            file = f"part-{self.part[0]:07d}-{self.part[1]:05d}-{self.place:04d}.warc.gz"
+            self.done.append((self.name, file, self.first, self.records, self.size, self.hash.hexdigest()))
+            self.out, self.place = None, self.place + 1
 
 
 def _prepared(pages: DataFrame) -> DataFrame:
@@ -112,42 +140,71 @@ def _prepared(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "length", F.when(revisit, F.col("keeper")).alias("refers_to"))
 
 
+def _ranged(rows: DataFrame, sizes: DataFrame, range_bytes: int) -> DataFrame:
+    """rows (of which sizes has page_id and length) with part and cut, which name a row's range: numbers in the order of (page_id, digest)."""
+    spark = rows.sparkSession
+    pages = materialise(sizes.groupBy("page_id").agg(F.sum("length").alias("bytes")), "warc-pages")
+    total = pages.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    ranges = min(MOST_RANGES, -(-(total.bytes or 0) // range_bytes) or 1)
+    every = max(1, total.n // ranges)
+    starts = pages.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64(F.lit("range"), "page_id"), F.lit(every)) == 0)).select("page_id").toArrow()
+    shared = spark.sparkContext.broadcast(np.sort(starts.column("page_id").to_numpy()))
+
+    @F.pandas_udf("int")
+    def part_of(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, page_id.to_numpy(np.int64), side="right").astype(np.int32) + 1)
+
+    # Pages that alone exceed a range: at most as many as there are ranges.
+    hot = materialise(pages.where(F.col("bytes") > range_bytes).select(F.col("page_id").alias("hot_id"), F.ceil(F.col("bytes") / range_bytes).alias("cuts")), "warc-large")
+    marked = rows.withColumn("part", F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(part_of(F.coalesce("page_id", F.lit(0)))))
+    marked = marked.join(hot, marked["page_id"].eqNullSafe(hot["hot_id"]), "left")
+    cut = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.col("cuts") / (1 << 32)).cast("int")
+    # A large page_id has ranges of its own between those before and after it.
+    return marked.withColumn("cut", F.coalesce(cut + 1, F.lit(0))).drop("hot_id", "cuts")
+
+
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files under folder; returns the manifest."""
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     staging = f"{folder}/_temporary-warc"
     fs, path = open_folder(staging)
     fs.create_dir(path, recursive=True)
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    fields = ["temporary", "file", "first_page", "records", "bytes", "sha256"]
+    schema = "temporary string, file string, first_page long, records long, bytes long, sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = RollingWriter(staging, roll_bytes)
         for batch in batches:
-            for page_id, url, payload, digest, length, refers_to in zip(*(batch.column(i) for i in range(6)), strict=True):
+            for part, cut, page_id, url, payload, digest, length, refers_to in zip(*(batch.column(i) for i in range(8)), strict=True):
                 name = base64.b32encode(bytes.fromhex(digest.as_py())).decode()
-                body = payload.as_py()
-                writer.write(page_id.as_py(), make_record(page_id.as_py(), url.as_py(), body, name, length.as_py(), refers_to.as_py()))
+                record = make_record(page_id.as_py(), url.as_py(), payload.as_py(), name, length.as_py(), refers_to.as_py())
+                writer.write((part.as_py(), cut.as_py()), page_id.as_py(), record)
         writer.close()
-        columns = list(zip(*writer.done, strict=True)) or [[]] * 5
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["temporary", "first_page", "records", "bytes", "sha256"])
-
-    ordered = _prepared(pages).repartitionByRange("page_id").sortWithinPartitions("page_id", "digest", "url")
-    report = ordered.mapInArrow(run, "temporary string, first_page long, records long, bytes long, sha256 string")
-    report.write.parquet(f"{folder}/_reported")
-    # The manifest has a row a file, and file sizes are set by roll_bytes: renaming them is the driver's commit.
-    files = spark.read.parquet(f"{folder}/_reported").orderBy(F.col("first_page").asc_nulls_first(), "sha256", "temporary").toLocalIterator()
+        columns = list(zip(*writer.done, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=fields)
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, base = open_folder(folder)
+        for batch in batches:
+            for temporary, file in zip(batch.column("temporary").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                if out.get_file_info(f"{base}/{file}").type == pafs.FileType.NotFound:
+                    out.move(f"{base}/_temporary-warc/{temporary}", f"{base}/{file}")
+            yield batch.drop_columns(["temporary"])
+
+    sizes = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).cast("long").alias("length"))
+    ranged = _ranged(_prepared(pages), sizes, RANGE_ROLLS * roll_bytes).select("part", "cut", "page_id", "url", "payload", "digest", "length", "refers_to")
+    ordered = ranged.repartition("part", "cut").sortWithinPartitions("part", "cut", "page_id", "digest", "url")
+    ordered.mapInArrow(run, schema).write.parquet(f"{folder}/_reported")
+    reported = spark.read.schema(schema).parquet(f"{folder}/_reported")
+    named = reported.mapInArrow(rename, schema.partition(", ")[2])
+    named.write.parquet(f"{folder}/_manifest-new")
     out, base = open_folder(folder)
-    rows = []
-    for i, r in enumerate(files):
-        name = f"part-{i:06d}.warc.gz"
-        out.move(f"{path}/{r.temporary}", f"{base}/{name}")
-        rows.append((name, r.first_page, r.records, r.bytes, r.sha256))
-    schema = "file string, first_page long, records long, bytes long, sha256 string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/_manifest-new")
     out.move(f"{base}/_manifest-new", f"{base}/manifest.parquet")
     drop_scratch(spark, staging)
     drop_scratch(spark, f"{folder}/_reported")
-    return spark.read.schema(schema).parquet(f"{folder}/manifest.parquet")
+    return spark.read.schema(schema.partition(", ")[2]).parquet(f"{folder}/manifest.parquet").orderBy("file")
 
 
 def read_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -171,6 +228,7 @@ def read_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload from the files of the manifest."""
+    folder = qualified(spark, folder)
     manifest = spark.read.parquet(f"{folder}/manifest.parquet")
     files = manifest.count()
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 
 from popspark.llm import common, warc
@@ -47,13 +48,21 @@ def test_round_trip(spark, sf):
         assert len(re.findall(rb"WARC-Type: ", gzip.decompress(raw))) >= m.records
 
 
-def test_same_input_same_files(spark, sf):
-    df = spark.createDataFrame(pages(spark, sf), "page_id long, url string, html string")
-    hashes = []
-    for part in (df, df.repartition(5)):
-        folder = common.scratch(spark, "warc-test")
-        hashes.append([m.sha256 for m in warc.write(part.coalesce(1), folder, roll_bytes=1 << 30).collect()])
-    assert hashes[0] == hashes[1]
+def test_same_rows_same_files(spark, sf):
+    """Whatever the partitions, their order and the settings; a large page_id and null ids are cut by digest."""
+    rows = pages(spark, sf) + [(7777, f"u{i}", f"<p>{i}</p>" * 200) for i in range(300)] + [(None, f"v{i}", f"<q>{i}</q>" * 200) for i in range(300)]
+    manifests = []
+    for seed, parts, adaptive in ((1, 3, "true"), (2, 7, "true"), (3, 1, "false")):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts + 1))
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "page_id long, url string, html string").repartition(parts)
+        folder = common.scratch(spark, "warc-test").removeprefix("file://")
+        manifests.append([tuple(m) for m in warc.write(df, folder if seed == 1 else f"file:{folder}", roll_bytes=20_000).collect()])
+        assert warc.read(spark, folder).count() == len(rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert manifests[0] == manifests[1] == manifests[2] and len(manifests[0]) > 8
+    assert len({m[0][:18] for m in manifests[0] if m[0].startswith("part-0000000-")}) > 3  # null ids
 
 
 def test_empty(spark):
