@@ -30,11 +30,13 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 """
 
 CHAT = """
-WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 0) // 64 AS part, coalesce(turn, -4611686018427387904) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH t0 AS (SELECT conv_id, coalesce(turn, -4611686018427387904) AS turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, floor(turn / 64)::BIGINT AS block, (row_number() OVER (PARTITION BY conv_id, floor(turn / 64) ORDER BY turn, role, text) - 1) // 64 AS piece FROM t0),
 s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-r AS (SELECT t.conv_id, perspective, part, turn, role, text, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head, text || '<|end|>' AS body FROM t JOIN s USING (conv_id)),
-o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r)
-SELECT conv_id, perspective, part, count(*)::INTEGER AS n_turns, string_agg(head || body, chr(10) ORDER BY turn, role, o.text) AS text, coalesce(string_agg(start::VARCHAR || ':' || (start + length(body))::VARCHAR, ',' ORDER BY start) FILTER (role = perspective), '') AS masks FROM o GROUP BY conv_id, perspective, part
+r AS (SELECT t.conv_id, perspective, block, piece, turn, role, text, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user:' || translate(replace(replace(role, '<|', '< |'), '|>', '| >'), chr(13) || chr(10), '  ') || '|>' END || chr(10) AS head, text || '<|end|>' AS body FROM t JOIN s USING (conv_id)),
+o AS (SELECT *, (coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head))::BIGINT AS start FROM r),
+p AS (SELECT conv_id, perspective, block, piece, count(*)::INTEGER AS n_turns, min(start - length(head))::BIGINT AS start, string_agg(head || body, chr(10) ORDER BY turn, role, o.text) AS text, coalesce(string_agg(start::VARCHAR || ':' || (start + length(body))::VARCHAR, ',' ORDER BY start) FILTER (role = perspective), '') AS masks FROM o GROUP BY conv_id, perspective, block, piece)
+SELECT conv_id, perspective, (row_number() OVER (PARTITION BY conv_id, perspective ORDER BY block, piece) - 1)::INTEGER AS part, n_turns, start, text, masks FROM p
 """
 
 

@@ -5,34 +5,50 @@ from popspark.llm import chat, licenses
 
 
 def plain_chat(rows, size=64):
-    parts = defaultdict(set)
+    """Whole dialogues, then cut where blocks of turn numbers or of `size` turns begin."""
+    convs = defaultdict(list)
     for conv, turn, role, text in rows:
         if conv is not None:
-            parts[conv, (turn or 0) // size].add((turn if turn is not None else -(1 << 62), role or "unknown", text or ""))
+            convs[conv].append((turn if turn is not None else -(1 << 62), role or "unknown", text or ""))
     out = []
-    for (conv, part), said in parts.items():
-        for me in {(r or "unknown") for c, _, r, _ in rows if c == conv} - {"system"}:
-            text, masks = "", []
-            for _, role, words in sorted(said):
-                head = "<|system|>" if role == "system" else "<|assistant|>" if role == me else f"<|user:{role}|>"
-                text += ("\n" if text else "") + head + "\n"
+    for conv, said in convs.items():
+        said.sort()
+        for me in {role for _, role, _ in said} - {"system"}:
+            text, cuts, seen = "", {}, defaultdict(int)
+            for turn, role, words in said:
+                name = role.replace("<|", "< |").replace("|>", "| >").replace("\n", " ").replace("\r", " ")
+                head = "<|system|>" if role == "system" else "<|assistant|>" if role == me else f"<|user:{name}|>"
+                text += "\n" if text else ""
+                key = turn // size, seen[turn // size] // size
+                seen[turn // size] += 1
+                cut = cuts.setdefault(key, [len(text), 0, []])
+                text += head + "\n"
                 body = words.replace("<|", "< |") + "<|end|>"
+                cut[1] += 1
                 if role == me:
-                    masks.append(f"{len(text)}:{len(text) + len(body)}")
+                    cut[2].append(f"{len(text)}:{len(text) + len(body)}")
                 text += body
-            out.append((conv, me, part, len(said), text, ",".join(masks)))
+            starts = [c[0] for c in cuts.values()] + [len(text) + 1]
+            for part, (start, n, masks) in enumerate(cuts.values()):
+                out.append((conv, me, part, n, start, text[start : starts[part + 1] - 1], ",".join(masks)))
     return sorted(out)
 
 
 def test_perspectives(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    rows += [(900, 0, "system", "be kind"), (900, 1, "ann", "hi <|end|> é😀"), (900, 2, "bob", None), (900, 2, "bob", None), (900, 3, None, "?"), (900, None, "cy", "first"), (900, 70, "ann", "late"), (901, 0, "system", "alone"), (None, 0, "ann", "lost")]
+    rows += [(900, 0, "system", "be kind"), (900, 1, "ann", "hi <|end|> é😀"), (900, 2, "bob", None), (900, 2, "bob", None), (900, 3, None, "?"), (900, None, "cy", "yes"), (900, None, "cy", "yes"), (900, 70, "ann", "late"), (900, 71, "a|>\n<|b", "odd"), (901, 0, "system", "alone"), (None, 0, "ann", "lost")]
+    rows += [(902, 5, "ann" if i % 3 else "bob", f"t{i % 90}") for i in range(200)] + [(902, i, "bob", "long") for i in range(60, 300)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int")
     got = sorted(tuple(r) for r in chat.digest(df).collect())
     assert got == plain_chat(rows)
-    assert {r[1] for r in got if r[0] == 900} == {"ann", "bob", "cy", "unknown"} and not [r for r in got if r[0] == 901]
-    for r in chat.rotate(df).where("conv_id = 900").collect():
-        assert all(r.text[m.start : m.end].endswith("<|end|>") for m in r.masks)
+    assert {r[1] for r in got if r[0] == 900} == {"ann", "bob", "cy", "unknown", "a|>\n<|b"} and not [r for r in got if r[0] == 901]
+    dialogues = defaultdict(list)
+    for r in sorted(chat.rotate(df).where("conv_id >= 900").collect(), key=lambda r: (r.conv_id, r.perspective, r.part)):
+        assert r.n_turns <= 64
+        dialogues[r.conv_id, r.perspective].append(r)
+    for parts in dialogues.values():
+        text = "\n".join(r.text for r in parts)
+        assert all(text[m.start : m.end].endswith("<|end|>") and text[: m.start].endswith("<|assistant|>\n") for r in parts for m in r.masks)
     assert chat.digest(df.limit(0)).count() == 0
 
 
