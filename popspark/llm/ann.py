@@ -16,8 +16,9 @@ candidate block; block sizes grow with the input between fixed bounds.
 
 Nulls and edge cases: rows with a null vec_id, a null or zero vector, or a
 vector with null or non-finite components take no part; vectors are compared
-only with vectors of the same length; of rows that repeat a vec_id the one with
-the smallest vector counts; equal scores go to the smaller vec_id; fewer than k
+only with vectors of the same length; rows that repeat a vec_id are rows of their own, as
+queries and as candidates; a sum that overflows counts as the infinity it ends at,
+and one in which both infinities meet as minus infinity; equal scores go to the smaller vec_id; fewer than k
 candidates are all returned; extra columns are ignored; an empty table gives no
 rows.
 """
@@ -40,11 +41,12 @@ SLACK = 1e-9
 
 
 def valid_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, vec (double) and dim of the rows that take part."""
+    """vec_id, row (a number among the rows of one vec_id), vec (double) and dim of the rows that take part."""
     v = F.col("vec")
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & v.isNotNull())
     fine = F.forall(v, lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    return rows.where(fine).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    row = F.row_number().over(Window.partitionBy("vec_id").orderBy("vec"))
+    return rows.where(fine).select("vec_id", row.alias("row"), "vec", F.size("vec").alias("dim"))
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +56,8 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     q = np.rint(x / scale[:, None])
     back = q * scale[:, None]
     kind = np.float32 if x.shape[1] <= 1040 else np.float64
-    return q.astype(kind), scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
+    # In units of the scale, whose square can overflow; the residue is worked out before, as it may be as small.
+    return q.astype(kind), scale, np.linalg.norm(q, axis=1) * scale, np.linalg.norm((x - back) / scale[:, None], axis=1) * scale
 
 
 def exact_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -62,11 +65,18 @@ def exact_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x))
     for i in range(x.shape[1]):
         out += x[:, i] * y[:, i]
-    return out
+    return np.where(np.isnan(out), -np.inf, out)
 
 
-def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, score) of each query's k best in this tile, itself left out."""
+def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, query_rows: np.ndarray | None = None, rows: np.ndarray | None = None) -> list[tuple[int, int, float, int]]:
+    """(query_id, vec_id, score, query_row) of each query's k best in this tile, itself (equal id and row) left out."""
+    query_rows = np.zeros(len(query_ids), np.int64) if query_rows is None else query_rows
+    rows = np.zeros(len(ids), np.int64) if rows is None else rows
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _tile(query_ids, queries, ids, vectors, k, query_rows, rows)
+
+
+def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, query_rows: np.ndarray, row_of: np.ndarray) -> list[tuple[int, int, float, int]]:
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     qq, qs, qn, qr = quantise(queries)
     cq, cs, cn, cr = quantise(vectors)
@@ -77,11 +87,14 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
             near = (qq[rows] @ cq[part].T).astype(np.float64) * qs[rows, None] * cs[None, part]
             bound = qn[rows, None] * cr[None, part] + qr[rows, None] * (cn[part] + cr[part])[None, :]
             bound += SLACK * (qn[rows] + qr[rows])[:, None] * (cn[part] + cr[part])[None, :]
-            near[query_ids[rows, None] == ids[None, part]] = -np.inf
-            low = near - bound
+            own = (query_ids[rows, None] == ids[None, part]) & (query_rows[rows, None] == row_of[None, part])
+            # Where sums overflow nothing is known: such a pair is kept and raises no floor.
+            low, high = near - bound, near + bound
+            low[own | np.isnan(low)] = -np.inf
+            high[np.isnan(high)] = np.inf
             floor = np.partition(low, low.shape[1] - k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
             held = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps[rows]])
-            keep = (near + bound >= np.maximum(floor, held)[:, None]) & np.isfinite(near)
+            keep = (high >= np.maximum(floor, held)[:, None]) & ~own
             i, j = np.nonzero(keep)
             for at in range(0, len(i), 1 << 17):
                 ii, jj = i[at : at + (1 << 17)] + b, j[at : at + (1 << 17)] + a
@@ -91,17 +104,17 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
                         heapq.heappush(heap, (s, -v))
                     elif (s, -v) > heap[0]:
                         heapq.heapreplace(heap, (s, -v))
-    return [(int(q), -v, s) for q, heap in zip(query_ids, heaps, strict=True) for s, v in heap]
+    return [(int(q), -v, s, int(r)) for q, r, heap in zip(query_ids, query_rows, heaps, strict=True) for s, v in heap]
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     column = table.column("vec").combine_chunks()
     ids = table.column("vec_id").to_numpy()
-    return ids, column.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    return ids, column.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), table.column("row").to_numpy()
 
 
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY) -> DataFrame:
-    """query_id, rank, vec_id, score for each query: the rows whose vec_id is divisible by `every`.
+    """query_id, rank, vec_id, score, query_row for each query: the rows whose vec_id is divisible by `every`.
 
     `vectors` is what valid_vectors returns.
     """
@@ -117,11 +130,15 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY) -
     candidates = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = tile(*_matrix(left), *_matrix(right), k) if left.num_rows and right.num_rows else []
-        return pa.table({"query_id": pa.array([x[0] for x in found], pa.int64()), "vec_id": pa.array([x[1] for x in found], pa.int64()), "score": pa.array([x[2] for x in found], pa.float64())})
+        found = []
+        if left.num_rows and right.num_rows:
+            (query_ids, queries, query_rows), (ids, vectors, rows) = _matrix(left), _matrix(right)
+            found = tile(query_ids, queries, ids, vectors, k, query_rows, rows)
+        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64(), "query_row": pa.int32()}
+        return pa.table({name: pa.array([x[i] for x in found], kind) for i, (name, kind) in enumerate(kinds.items())})
 
     keys = ["dim", "q_block", "c_block"]
-    best = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double, query_row int")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", "query_row")

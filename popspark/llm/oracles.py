@@ -24,9 +24,9 @@ SELECT doc_id, size, source_size, target, size * (epochs + CASE WHEN rest > 0 AN
 """
 
 NEAREST = """
-WITH e AS (SELECT vec_id, min(v) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL) WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY vec_id),
-p AS (SELECT a.vec_id AS query_id, b.vec_id, list_reduce(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]), lambda x, y: x + y, 0.0::DOUBLE) AS score FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= 20
+WITH e AS (SELECT vec_id, row_number() OVER () AS r, v FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL) WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, list_reduce(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]), lambda x, y: x + y, 0.0::DOUBLE) AS score FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.r <> b.r AND len(a.v) = len(b.v))
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= 20
 """
 
 CHAT = """

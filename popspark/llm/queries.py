@@ -25,7 +25,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(ann.valid_vectors(_table(spark, sf_dir, "embeddings")))
+    return ann.nearest(ann.valid_vectors(_table(spark, sf_dir, "embeddings"))).drop("query_row")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
