@@ -3,15 +3,19 @@
 Each rule's regex is parsed on the driver into a Boolean trigram query: an AND of
 groups, each an OR of alternatives, each an AND of trigrams that any match must
 contain (letters folded to lower case, so the query may only be too wide). The
-trigrams of all rules form the postings: for each document one bit for each of
-them, that is, the inverted index stored by document, so that postings intersect
-by bit tests where the text lies and no text is shuffled. A document is a
-candidate of a rule if the rule's query holds; only candidates meet the regex.
-A rule without mandatory trigrams scans all documents. `postings` gives the
-index the other way round, as (trigram, doc_id) rows.
+rows are numbered by a 64-bit hash of doc_id and text and dealt into blocks of about
+BLOCK_ROWS; the inverted index holds, for each trigram and block, the sorted row
+numbers of the texts that contain it. A block's postings are intersected and united
+as each rule's query says, which gives (row number, rules) candidates; a text meets
+the regexes of its candidate rules alone. Numbers that collide only make a candidate
+more, as the regex decides. A rule without mandatory trigrams scans all texts.
+
+Candidates are broadcast if there are at most BROADCAST_ROWS of them (16 bytes each),
+else joined by row number, which moves the texts.
 
 Spans are code points, end exclusive, leftmost and not overlapping within a rule.
-Their places come from the lengths of the matches and of the pieces between them.
+Their places are running sums of the lengths of the matches and of the pieces
+between them, worked out in chunks of the square root of their number.
 
 Nulls and edge cases: a null text is empty and has no spans; equal rows each get
 their row; a null doc_id stays; extra columns are ignored; an empty table gives
@@ -24,15 +28,18 @@ import re
 import re._constants as sre
 import re._parser as parser
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialise
 
 #: More alternatives than this end a run of exact strings.
 MOST_ALTERNATIVES = 64
+#: Rows of a block of the index, about; candidates that are broadcast at most.
+BLOCK_ROWS, BROADCAST_ROWS = 1 << 16, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -126,84 +133,88 @@ def trigram_query(pattern: str) -> list[Group]:
     return query
 
 
-def _bits(trigrams: list[str], lowered: Column) -> list[Column]:
-    """Postings by document: 60 bits to a long, bit i for trigram i."""
-    out = []
-    for a in range(0, len(trigrams), 60):
-        word = F.lit(0).cast("long")
-        for i, t in enumerate(trigrams[a : a + 60]):
-            word = word.bitwiseOR(F.when(F.contains(lowered, F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-        out.append(word)
-    return out
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and the row's number."""
+    slim = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return slim.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def _holds(query: list[Group], place: dict[str, int]) -> Column:
-    whole = F.lit(True)
-    for group in query:
-        any_of = F.lit(False)
-        for alternative in sorted(group, key=sorted):
-            masks: dict[int, int] = {}
-            for t in alternative:
-                masks[place[t] // 60] = masks.get(place[t] // 60, 0) | 1 << place[t] % 60
-            all_of = F.lit(True)
-            for word, mask in sorted(masks.items()):
-                all_of = all_of & (F.col(f"posting_{word}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-            any_of = any_of | all_of
-        whole = whole & any_of
-    return whole
+def index(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The inverted index over the rules' trigrams: block, trigram and rows, a sorted array of row numbers."""
+    trigrams = sorted({t for r in rules for g in trigram_query(r.pattern) for a in g for t in a})
+    blocks = -(-docs.count() // block_rows) or 1
+    lowered = _numbered(docs).select("row", lower_ascii(F.col("text")).alias("lowered"))
+    held = F.array_compact(F.array(*[F.when(F.contains("lowered", F.lit(t)), F.lit(t)) for t in trigrams])) if trigrams else F.array().cast("array<string>")
+    each = lowered.select("row", F.pmod("row", F.lit(blocks)).alias("block"), F.explode(held).alias("trigram"))
+    return each.groupBy("block", "trigram").agg(F.sort_array(F.collect_set("row")).alias("rows"))
 
 
-def _trigrams(rules: tuple[Rule, ...]) -> dict[str, list[Group]]:
-    return {r.kind: trigram_query(r.pattern) for r in rules}
+def _rows_of(query: list[Group]) -> Column:
+    """The rows of a block for which the query holds, from its postings by trigram."""
+    none = F.array().cast("array<bigint>")
+    posting = lambda t: F.coalesce(F.try_element_at("postings", F.lit(t)), none)
+    ands = lambda lists: reduce(F.array_intersect, lists)
+    return ands([reduce(F.array_union, [ands([posting(t) for t in sorted(a)]) for a in sorted(group, key=sorted)]) for group in query])
 
 
-def index(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, dict[str, int]]:
-    """doc_id, text and the posting columns; the bit of each trigram."""
-    trigrams = sorted({t for q in _trigrams(rules).values() for g in q for a in g for t in a})
-    slim = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lowered = slim.withColumn("lowered", lower_ascii(F.col("text")))
-    words = _bits(trigrams, F.col("lowered"))
-    return lowered.select("doc_id", "text", *[w.alias(f"posting_{i}") for i, w in enumerate(words)]), {t: i for i, t in enumerate(trigrams)}
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """row and found, whose bit i says that the row is a candidate of rule i, for the rules with mandatory trigrams."""
+    by_block = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("postings"))
+    each = [F.struct(F.lit(1 << i).cast("long").alias("bit"), _rows_of(q).alias("rows")) for i, q in enumerate(trigram_query(r.pattern) for r in rules) if q]
+    if not each:
+        each = [F.struct(F.lit(0).cast("long").alias("bit"), F.array().cast("array<bigint>").alias("rows"))]
+    found = by_block.select(F.explode(F.array(*each)).alias("rule")).select("rule.bit", F.explode("rule.rows").alias("row"))
+    return found.groupBy("row").agg(F.bit_or("bit").alias("found"))
+
 
+def _running(sizes: Column) -> Column:
+    """The running sums of an array, each with its own element."""
+    n = F.size(sizes)
+    chunk = F.ceil(F.sqrt(n)).cast("int")
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """The inverted index as rows: trigram, doc_id."""
-    marked, place = index(docs, rules)
-    named = F.array(*[F.when(F.col(f"posting_{i // 60}").bitwiseAND(F.lit(1 << i % 60).cast("long")) != 0, F.lit(t)) for t, i in place.items()])
-    return marked.select(F.explode(F.array_compact(named)).alias("trigram"), "doc_id")
+    def sums(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")), lambda acc: acc["out"])
 
+    def placed(inner: Column) -> Column:
+        ends = sums(F.transform(inner, lambda x: F.element_at(x, -1)))
+        return F.flatten(F.zip_with(inner, ends, lambda x, end: F.transform(x, lambda v: v + end - F.element_at(x, -1))))
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """An array of (start, kind's order, end, kind) of the rule's matches in text."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda c: sums(F.slice(sizes, c * chunk + 1, chunk)))
+    # An array of one element binds the chunks' sums, which are used twice.
+    return F.when(n > 0, F.flatten(F.transform(F.array(chunks), placed))).otherwise(F.array().cast("array<int>"))
+
+
+def _measured(text: Column, rule: Rule) -> Column:
+    """An array of (gap, len, ok) for the rule's matches: the length of the piece before, of the match, and if it counts."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    pieces = F.split(text, rule.pattern, -1)
-    measured = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("len")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    placed = F.aggregate(
-        measured,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    if rule.least:
-        kept = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
-        placed = F.filter(F.zip_with(placed, kept, lambda s, k: F.struct(s["start"].alias("start"), s["end"].alias("end"), k.alias("ok"))), lambda s: s["ok"])
-    return F.transform(placed, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
-
-
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    wanted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.least else matches
+    both = F.zip_with(matches, wanted, lambda m, w: F.struct(F.length(m).alias("len"), (F.length(w) >= rule.least).alias("ok")))
+    pieces = F.slice(F.split(text, rule.pattern, -1), 1, F.size(matches))
+    return F.zip_with(both, pieces, lambda m, p: F.struct(F.length(p).alias("gap"), m["len"].alias("len"), m["ok"].alias("ok")))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, block_rows: int = BLOCK_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id and spans, an array of (start, order, end, kind) sorted so, a row for each row of docs."""
-    marked, place = index(docs, rules)
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    queries = _trigrams(rules)
+    known = materialise(candidates(index(docs, rules, block_rows), rules), "secret-candidates").withColumnRenamed("row", "known")
+    small = known.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rows = _numbered(docs)
+    rows = rows.join(F.broadcast(known) if small else known, rows["row"] == known["known"], "left")
     # A candidate meets the regex once as a test; places are worked out only where it matches.
     for i, rule in enumerate(rules):
-        marked = marked.withColumn(f"match_{i}", _holds(queries[rule.kind], place) & F.col("text").rlike(rule.pattern))
-    found = [F.when(F.col(f"match_{i}"), _spans(F.col("text"), rule, i)).otherwise(none) for i, rule in enumerate(rules)]
-    return marked.select("doc_id", F.array_sort(F.flatten(F.array(*found))).alias("spans"))
+        given = F.lit(True) if not trigram_query(rule.pattern) else F.coalesce(F.col("found").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(False))
+        rows = rows.withColumn(f"match_{i}", given & F.col("text").rlike(rule.pattern))
+    rows = rows.select("doc_id", *[F.when(F.col(f"match_{i}"), _measured(F.col("text"), rule)).alias(f"measured_{i}") for i, rule in enumerate(rules)])
+    ends = [_running(F.transform(f"measured_{i}", lambda m: m["gap"] + m["len"])).alias(f"ends_{i}") for i in range(len(rules))]
+    rows = rows.select("*", *ends)
+
+    def placed(i: int, kind: str) -> Column:
+        places = F.zip_with(f"measured_{i}", f"ends_{i}", lambda m, end: F.struct((end - m["len"]).alias("start"), F.lit(i).alias("order"), end.alias("end"), F.lit(kind).alias("kind"), m["ok"].alias("ok")))
+        kept = F.transform(F.filter(places, lambda s: s["ok"]), lambda s: F.struct(*[s[x].alias(x) for x in ("start", "order", "end", "kind")]))
+        return F.coalesce(kept, F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
+
+    spans = [placed(i, rule.kind) for i, rule in enumerate(rules)]
+    return rows.select("doc_id", F.array_sort(F.flatten(F.array(*spans))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -52,8 +52,24 @@ def test_trigram_queries():
     assert len(assign) == 1 and frozenset({"tok", "oke", "ken"}) in assign[0] and len(assign[0]) == 6
 
 
-def test_postings_and_empty(spark):
-    df = spark.createDataFrame([(1, "TOKEN"), (2, "awaken"), (3, None)], "doc_id long, text string")
-    rows = {(r.trigram, r.doc_id) for r in secrets.postings(df).collect()}
-    assert rows == {("tok", 1), ("oke", 1), ("ken", 1), ("ken", 2)}
-    assert secrets.digest(df.limit(0)).count() == 0
+def test_index_and_candidates(spark):
+    df = spark.createDataFrame([(1, "TOKEN"), (2, "awaken"), (3, None), (1, "TOKEN"), (4, "a token, an AKIA")], "doc_id long, text string")
+    number = {r.row: r.doc_id for r in secrets._numbered(df).collect()}
+    for block_rows in (1 << 16, 2):
+        index = secrets.index(df, block_rows=block_rows)
+        rows = sorted((r.trigram, number[x]) for r in index.collect() for x in r.rows)
+        assert rows == [("aki", 4), ("ken", 1), ("ken", 2), ("ken", 4), ("kia", 4), ("oke", 1), ("oke", 4), ("tok", 1), ("tok", 4)]
+        assert {number[r.row]: r.found for r in secrets.candidates(index).collect()} == {1: 1, 4: 3}
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").unionByName(df)
+    place = lambda **k: sorted(map(str, secrets.scan(docs, **k).collect()))
+    assert place() == place(block_rows=7, broadcast_rows=0)
+    assert place(rules=secrets.BASE_RULES[2:]) != place() and secrets.digest(df.limit(0)).count() == 0
+
+
+def test_running_sums_of_many_spans(spark):
+    for n in (0, 1, 2, 3, 10, 99):
+        row = spark.range(1).select(secrets._running(F.slice(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda x: x * x), 1, n)).alias("r")).first()
+        assert row.r == [sum(x * x for x in range(1, k + 1)) for k in range(1, n + 1)]
+    text = "token=abcdef1 é " * 50_000
+    found = secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert found.n_assign == 50_000 and found.spans.endswith(f"assign:{16 * 49_999}:{16 * 49_999 + 13}")
