@@ -8,15 +8,17 @@ hit.
 Winnowing: each text's hashed k-grams (k words) are looked at through windows of
 w = span - k + 1 k-grams, and of each window the minimum is kept. Two texts that
 share `span` words share a whole window of k-grams, so they keep the same
-minimum: no shared span is missed. Documents are cut into segments of bounded
-length that overlap by span - 1 words, so that each shared span lies whole in one
-of them and a very long text costs no more a word than a short one. Fingerprints
+minimum: no shared span is missed. Documents and items are cut into segments of
+bounded length that overlap by span - 1 words, so that each shared span lies whole in
+one of each and a very long text costs no more a word than a short one. Fingerprints
 of documents and items are joined; each join hit is extended word by word to
 both sides, and counts if `span` words or more agree. Items shorter than `span`
-are looked up by their own length (all k-grams of that length, no minimum).
+are looked up by their own length (all k-grams of that length, no minimum), all
+lengths in one pass.
 
-The item side is broadcast if its rows are at most `broadcast_rows`, else joined
-by a shuffle of fingerprints with their bounded context.
+The item side is broadcast if its rows are at most `broadcast_rows` and their words
+at most BROADCAST_CHARS characters, else joined by a shuffle of fingerprints with
+their bounded context.
 
 Nulls and edge cases: null and wordless texts have no words, hit nothing and are
 never contaminated; items without words have no window; items with a null
@@ -37,7 +39,7 @@ from .common import lower_ascii, materialise, split_words
 SPAN = 10
 K = 5
 SEGMENT = 500
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 32 << 20
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -55,6 +57,10 @@ def kgram_hashes(words: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: _gram(words, i, k))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _placed_grams(words: Column, m: int) -> Column:
+    return F.transform(kgram_hashes(words, m), lambda h, at: F.struct(F.lit(m).alias("m"), at.alias("at"), h.alias("hash")))
+
+
 def window_minima(hashes: Column, w: int) -> Column:
     """The distinct minima of all windows of w consecutive hashes."""
     n = F.size(hashes)
@@ -77,11 +83,11 @@ def _around(words: Column, at: Column, k: int, reach: int) -> Column:
     return F.transform(F.sequence(F.lit(-reach), F.lit(k + reach - 1)), lambda i: F.when(at + i >= 0, F.get(words, at + i)))
 
 
-def _item_keys(items: DataFrame, span: int, k: int) -> DataFrame:
+def _item_keys(items: DataFrame, span: int, k: int, segment: int) -> DataFrame:
     """width, hash, item_id, around: the winnowed k-grams of long items, whole short items."""
     w = span - k + 1
     words = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), item_words(F.col("text").cast("string")).alias("words")).distinct()
-    long = words.where(F.size("words") >= span).withColumn("hashes", kgram_hashes(F.col("words"), k))
+    long = _segments(words.where(F.size("words") >= span).select("item_id", F.col("words").alias("all_words")), ["item_id"], span, segment).withColumn("hashes", kgram_hashes(F.col("words"), k))
     long = long.withColumn("hash", F.explode(window_minima(F.col("hashes"), w))).withColumn("at", F.explode(_positions(F.col("hashes"), F.col("hash"))))
     long = long.select(F.lit(k).alias("width"), "hash", "item_id", _around(F.col("words"), F.col("at"), k, span - k).alias("around"))
     short = words.where(F.size("words").between(1, span - 1))
@@ -105,10 +111,11 @@ def _extent(left: Column, right: Column, k: int, reach: int) -> tuple[Column, Co
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, segment: int = SEGMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each row of docs: doc_id, text_hash, n_words, n_hit, items (sorted item ids), contaminated."""
     reach = span - k
-    keys = materialise(_item_keys(benchmark, span, k), "winnow-items")
+    keys = materialise(_item_keys(benchmark, span, k, segment), "winnow-items")
     widths = [r.width for r in keys.select("width").distinct().collect()]  # at most `span` values
     lengths = sorted(-x for x in widths if x < 0)
-    small = keys.count() <= broadcast_rows
+    held = keys.agg(F.count("*").alias("rows"), F.sum(F.length(F.array_join("around", " "))).alias("chars")).first()
+    small = held.rows <= broadcast_rows and (held.chars or 0) <= BROADCAST_CHARS
 
     base = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.select("doc_id", F.xxhash64("text").alias("text_hash"), item_words(F.col("text")).alias("all_words"))
@@ -132,12 +139,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
         hits = hits.where(middle).select("doc_id", "text_hash", "item_id", (F.col("first") + F.col("at")).alias("place"), before.alias("before"), after.alias("after"))
         hits = hits.where(F.col("before") + F.col("after") >= reach)
         found.append(hits.select("doc_id", "text_hash", "item_id", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + k + F.col("after")).alias("end")))
-    for m in lengths:
-        own = keys.where(F.col("width") == -m).select(F.col("hash").alias("item_hash"), "item_id", "around")
-        probe = parts.select("doc_id", "text_hash", "first", "words", F.posexplode(kgram_hashes(F.col("words"), m)).alias("at", "hash"))
-        probe = probe.select("doc_id", "text_hash", (F.col("first") + F.col("at")).alias("start"), "hash", F.slice("words", F.col("at") + 1, m).alias("gram"))
-        hits = probe.join(F.broadcast(own) if small else own, (F.col("hash") == F.col("item_hash")) & (F.col("gram") == F.col("around")))
-        found.append(hits.select("doc_id", "text_hash", "item_id", "start", (F.col("start") + m).alias("end")))
+    if lengths:
+        own = keys.where(F.col("width") < 0).select((-F.col("width")).alias("item_width"), F.col("hash").alias("item_hash"), "item_id", "around")
+        grams = F.flatten(F.array(*[_placed_grams(F.col("words"), m) for m in lengths]))
+        probe = parts.select("doc_id", "text_hash", "first", "words", F.explode(grams).alias("gram"))
+        probe = probe.select("doc_id", "text_hash", (F.col("first") + F.col("gram.at")).alias("start"), "gram.m", "gram.hash", F.slice("words", F.col("gram.at") + 1, F.col("gram.m")).alias("said"))
+        same = (F.col("hash") == F.col("item_hash")) & (F.col("m") == F.col("item_width")) & (F.col("said") == F.col("around"))
+        hits = probe.join(F.broadcast(own) if small else own, same)
+        found.append(hits.select("doc_id", "text_hash", "item_id", "start", (F.col("start") + F.col("m")).alias("end")))
 
     base = base.select("doc_id", "text_hash", F.size("all_words").cast("long").alias("n_words"))
     if not found:

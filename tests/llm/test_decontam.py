@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -65,6 +66,15 @@ def test_short_segments_and_empty_tables(spark, sf):
     assert decontam.contamination(d.limit(0), b).count() == 0
 
 
+def test_long_items(spark):
+    rng = random.Random(8)
+    item = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    docs = [(i, " ".join(["x"] * i + item[a : a + n])) for i, (a, n) in enumerate([(0, 9), (0, 10), (491, 18), (495, 14), (990, 30), (19_985, 15), (7000, 3000)])]
+    items = [(1, " ".join(item)), (2, " ".join(item[498:509])), (3, "w1 w2 w3")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, words string")
+    assert got(decontam.contamination(d, b)) == plain(docs, items)
+
+
 def test_drop_contaminated(spark, sf):
     docs, items = rows(spark, sf)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
