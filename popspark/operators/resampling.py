@@ -51,10 +51,10 @@ def _order(seed: str, unit: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.col("iter").cast("string"), F.col(unit).cast("string")))
 
 
-def subsamples(population: DataFrame, unit: str, size: int, iterations: int, seed: str) -> DataFrame:
-    """iter and the rows of each subsample without replacement: the first `size` in the iteration's md5 order."""
+def subsamples(population: DataFrame, unit: str, size: int, iterations: int, seed: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """iter and the rows of each subsample without replacement: the first `size` in the iteration's md5 order, within each group of the columns `by`."""
     rows = population.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    rank = F.row_number().over(Window.partitionBy("iter").orderBy(_order(seed, unit), unit))
+    rank = F.row_number().over(Window.partitionBy(*by, "iter").orderBy(_order(seed, unit), unit))
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
 
 
@@ -118,35 +118,42 @@ def level(metric: str) -> str:
     return "Allelic" if metric in ALLELIC else "Genotypic"
 
 
-def genotypic_rarefaction(genotypes: DataFrame, metric: str, size: int, iterations: int = 999, seed: str = "0") -> DataFrame | None:
-    """iter, value of a metric over subsampled genotypes (ind, a1, a2; 0 is absent)."""
-    if metric not in ALLELIC + GENOTYPIC or size <= 0 or genotypes.count() <= size:
+def _larger(genotypes: DataFrame, by: tuple[str, ...], enough: Column) -> DataFrame:
+    """The genotypes of the groups for which the condition over n (rows) and alleles (present ones) holds."""
+    present = F.when(F.col("a1") != 0, 1).otherwise(0) + F.when(F.col("a2") != 0, 1).otherwise(0)
+    groups = genotypes.groupBy(*by).agg(F.count("*").alias("n"), F.sum(present).alias("alleles")).where(enough).select(*by)
+    return genotypes.join(groups, list(by), "left_semi") if by else genotypes.join(groups, how="left_semi")
+
+
+def genotypic_rarefaction(genotypes: DataFrame, metric: str, size: int, iterations: int = 999, seed: str = "0", by: tuple[str, ...] = ()) -> DataFrame | None:
+    """iter, value of a metric over subsampled genotypes (ind, a1, a2; 0 is absent) (R17); with `by`, for each of its groups that has more rows."""
+    if metric not in ALLELIC + GENOTYPIC or size <= 0 or (not by and genotypes.count() <= size):
         return None
-    drawn = subsamples(genotypes, "ind", size, iterations, seed)
-    alleles = drawn.select("iter", F.explode(F.array("a1", "a2")).alias("a")).where("a <> 0").groupBy("iter", "a").agg(F.count("*").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy("iter"))
-    by = alleles.withColumn("p", p).groupBy("iter").agg(F.count("*").cast("double").alias("A"), F.count_if(F.col("p") >= 0.05).cast("double").alias("A95"), F.sum(F.col("p") * F.col("p")).alias("s"))
+    drawn = subsamples(_larger(genotypes, by, F.col("n") > size) if by else genotypes, "ind", size, iterations, seed, by)
+    key = [*by, "iter"]
+    alleles = drawn.select(*key, F.explode(F.array("a1", "a2")).alias("a")).where("a <> 0").groupBy(*key, "a").agg(F.count("*").alias("n"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy(*key))
+    found = alleles.withColumn("p", p).groupBy(*key).agg(F.count("*").cast("double").alias("A"), F.count_if(F.col("p") >= 0.05).cast("double").alias("A95"), F.sum(F.col("p") * F.col("p")).alias("s"))
     both = (F.col("a1") != 0) & (F.col("a2") != 0)
-    het = drawn.groupBy("iter").agg(F.count_if((F.col("a1") != 0) | (F.col("a2") != 0)).alias("g"), F.count_if(both & (F.col("a1") != F.col("a2"))).alias("h"))
+    het = drawn.groupBy(*key).agg(F.count_if((F.col("a1") != 0) | (F.col("a2") != 0)).alias("g"), F.count_if(both & (F.col("a1") != F.col("a2"))).alias("h"))
     value = {"A": F.coalesce("A", F.lit(0.0)), "A95": F.coalesce("A95", F.lit(0.0)), "Ae": F.coalesce(1 / F.col("s"), F.lit(0.0)), "Ho": divide(F.col("h"), F.col("g")), "He": 1 - F.coalesce("s", F.lit(0.0))}[metric]
-    return het.join(by, "iter", "left").select("iter", value.alias("value"))
+    return het.join(found, key, "left").select(*key, value.alias("value"))
 
 
-def allelic_rarefaction(genotypes: DataFrame, metric: str, size: int, iterations: int = 999, seed: str = "0") -> DataFrame | None:
-    """iter, value over 2 x size alleles drawn from the pool of present ones (R18); no rows if the pool is too small."""
+def allelic_rarefaction(genotypes: DataFrame, metric: str, size: int, iterations: int = 999, seed: str = "0", by: tuple[str, ...] = ()) -> DataFrame | None:
+    """iter, value over 2 x size alleles drawn from the pool of present ones (R18), with `by` for each of its groups; no rows where the pool is too small."""
     if metric not in ALLELIC:
         return None
-    pool = genotypes.select("ind", F.posexplode(F.array("a1", "a2")).alias("side", "a")).where("a <> 0").select((F.col("ind") * 2 + F.col("side")).alias("unit"), "a")
-    n = genotypes.count()
-    if size >= 2 * n or 2 * size > pool.count():
-        return genotypes.sparkSession.createDataFrame([], "iter int, value double")
-    drawn = subsamples(pool, "unit", 2 * size, iterations, seed).groupBy("iter", "a").agg((F.count("*") / (2.0 * size)).alias("p"))
+    enough = _larger(genotypes, by, (F.lit(size) < 2 * F.col("n")) & (F.lit(2 * size) <= F.col("alleles")))
+    pool = enough.select(*by, "ind", F.posexplode(F.array("a1", "a2")).alias("side", "a")).where("a <> 0").select(*by, (F.col("ind") * 2 + F.col("side")).alias("unit"), "a")
+    key = [*by, "iter"]
+    drawn = subsamples(pool, "unit", 2 * size, iterations, seed, by).groupBy(*key, "a").agg((F.count("*") / (2.0 * size)).alias("p"))
     value = {"A": F.count("*").cast("double"), "A95": F.count_if(F.col("p") >= 0.05).cast("double"), "Ae": 1 / F.sum(F.col("p") * F.col("p"))}[metric]
-    return drawn.groupBy("iter").agg(value.alias("value"))
+    return drawn.groupBy(*key).agg(value.alias("value"))
 
 
-def rarefaction(genotypes: DataFrame, metric: str, size: int, iterations: int = 999, seed: str = "0") -> DataFrame | None:
+def rarefaction(genotypes: DataFrame, metric: str, size: int, iterations: int = 999, seed: str = "0", by: tuple[str, ...] = ()) -> DataFrame | None:
     """The metric's null distribution, or null where it is not to be had (R16): fewer than ten drawn, fewer than two iterations, or no genotypes left out."""
-    if metric == "Undefined" or iterations < 2 or size < 10 or size >= genotypes.count():
+    if metric == "Undefined" or iterations < 2 or size < 10 or (not by and size >= genotypes.count()):
         return None
-    return (allelic_rarefaction if level(metric) == "Allelic" else genotypic_rarefaction)(genotypes, metric, size, iterations, seed)
+    return (allelic_rarefaction if level(metric) == "Allelic" else genotypic_rarefaction)(genotypes, metric, size, iterations, seed, by)

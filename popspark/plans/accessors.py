@@ -145,7 +145,7 @@ def genotypes_of_individual(spark, d):
     return store.genotypes_of(_staged(spark, d)["genotypes"], 7)
 
 
-@query()
+@query("SELECT (max(o_orderkey) + 1)::INTEGER AS ind_ord, (SELECT max(l_linenumber) + 1 FROM lineitem)::INTEGER AS locus_ord FROM orders")
 def staged_additions(spark, d):
     t = _staged(spark, d)
     people = t["individuals"].select(F.col("ind_ord").cast("int").alias("ind_ord"), "name", F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"))

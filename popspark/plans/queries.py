@@ -444,31 +444,31 @@ def permutation_amova_null(spark, d):
     return rounded(distance.permuted_phi(distance.genetic_distance(domain.snp(spark, d)), null))
 
 
-DRAWS = "r AS (SELECT iter::INTEGER AS iter, ind, a1, a2 FROM g_msat, range(0, 20) t(iter) WHERE locus = 1 QUALIFY row_number() OVER (PARTITION BY iter ORDER BY md5('rare|' || iter || '|' || ind), ind) <= 50)"
+DRAWS = "r AS (SELECT locus, iter::INTEGER AS iter, ind, a1, a2 FROM (SELECT *, count(*) OVER (PARTITION BY locus) AS n FROM g_msat), range(0, 20) t(iter) WHERE n > 50 QUALIFY row_number() OVER (PARTITION BY locus, iter ORDER BY md5('rare|' || iter || '|' || ind), ind) <= 50)"
 
 
-@query(f"WITH {DRAWS} SELECT iter, count(DISTINCT a)::DOUBLE AS value FROM (SELECT iter, unnest([a1, a2]) AS a FROM r) WHERE a <> 0 GROUP BY iter", "g_msat")
+@query(f"WITH {DRAWS} SELECT locus, iter, count(DISTINCT a)::DOUBLE AS value FROM (SELECT locus, iter, unnest([a1, a2]) AS a FROM r) WHERE a <> 0 GROUP BY ALL", "g_msat")
 def rarefaction_genotypic_A(spark, d):
-    return resampling.genotypic_rarefaction(domain.msat(spark, d).where("locus = 1"), "A", 50, 20, "rare")
+    return resampling.genotypic_rarefaction(domain.msat(spark, d), "A", 50, 20, "rare", ("locus",))
 
 
-@query(f"WITH {DRAWS} SELECT iter, round(count(*) FILTER (a1 <> 0 AND a2 <> 0 AND a1 <> a2) / count(*) FILTER (a1 <> 0 OR a2 <> 0), 6) AS value FROM r GROUP BY iter", "g_msat")
+@query(f"WITH {DRAWS} SELECT locus, iter, round(count(*) FILTER (a1 <> 0 AND a2 <> 0 AND a1 <> a2) / count(*) FILTER (a1 <> 0 OR a2 <> 0), 6) AS value FROM r GROUP BY locus, iter", "g_msat")
 def rarefaction_Ho(spark, d):
-    return rounded(resampling.rarefaction(domain.msat(spark, d).where("locus = 1"), "Ho", 50, 20, "rare"))
+    return rounded(resampling.rarefaction(domain.msat(spark, d), "Ho", 50, 20, "rare", ("locus",)))
 
 
 @query(
-    "WITH pool AS (SELECT ind * 2 + side AS unit, a FROM (SELECT ind, unnest([0, 1]) AS side, unnest([a1, a2]) AS a FROM g_msat WHERE locus = 1) WHERE a <> 0), r AS (SELECT iter::INTEGER AS iter, a FROM pool, range(0, 20) t(iter) QUALIFY row_number() OVER (PARTITION BY iter ORDER BY md5('rare|' || iter || '|' || unit), unit) <= 100), c AS (SELECT iter, a, count(*) / 100.0::DOUBLE AS p FROM r GROUP BY ALL) SELECT iter, round(1 / sum(p * p), 6) AS value FROM c GROUP BY iter", "g_msat",
+    "WITH pool AS (SELECT locus, ind * 2 + side AS unit, a, count(*) OVER (PARTITION BY locus) AS n FROM (SELECT locus, ind, unnest([0, 1]) AS side, unnest([a1, a2]) AS a FROM g_msat) WHERE a <> 0), r AS (SELECT locus, iter::INTEGER AS iter, a FROM pool, range(0, 20) t(iter) WHERE n >= 100 QUALIFY row_number() OVER (PARTITION BY locus, iter ORDER BY md5('rare|' || iter || '|' || unit), unit) <= 100), c AS (SELECT locus, iter, a, count(*) / 100.0::DOUBLE AS p FROM r GROUP BY ALL) SELECT locus, iter, round(1 / sum(p * p), 6) AS value FROM c GROUP BY ALL", "g_msat",
 )
 def rarefaction_allelic_Ae(spark, d):
-    return rounded(resampling.allelic_rarefaction(domain.msat(spark, d).where("locus = 1"), "Ae", 50, 20, "rare"))
+    return rounded(resampling.allelic_rarefaction(domain.msat(spark, d), "Ae", 50, 20, "rare", ("locus",)))
 
 
 @query(
-    f"WITH {DRAWS}, v AS (SELECT iter, count(*) FILTER (a1 <> 0 AND a2 <> 0 AND a1 <> a2) / count(*) FILTER (a1 <> 0 OR a2 <> 0) AS value FROM r GROUP BY iter) SELECT round((count(*) FILTER (value >= 0.7) + 1) / (count(*) + 1), 6) AS greater, round((count(*) FILTER (value <= 0.7) + 1) / (count(*) + 1), 6) AS less FROM v", "g_msat",
+    f"WITH {DRAWS}, v AS (SELECT locus, iter, count(*) FILTER (a1 <> 0 AND a2 <> 0 AND a1 <> a2) / count(*) FILTER (a1 <> 0 OR a2 <> 0) AS value FROM r GROUP BY locus, iter) SELECT round((count(*) FILTER (value >= 0.7) + 1) / (count(*) + 1), 6) AS greater, round((count(*) FILTER (value <= 0.7) + 1) / (count(*) + 1), 6) AS less FROM v", "g_msat",
 )
 def null_p_values(spark, d):
-    null = resampling.rarefaction(domain.msat(spark, d).where("locus = 1"), "Ho", 50, 20, "rare")
+    null = resampling.rarefaction(domain.msat(spark, d), "Ho", 50, 20, "rare", ("locus",))
     one = lambda direction: resampling.p_value(null, 0.7, direction=direction).withColumnRenamed("p_value", direction)
     return rounded(one("greater").crossJoin(one("less")))
 
