@@ -12,7 +12,7 @@ from popspark.llm import langid
 
 from .test_decontam import plain as plain_hits
 from .test_mixing import plain_targets
-from .test_simhash import plain_components, plain_fingerprint
+from .test_similar import plain_kept
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,8 +43,8 @@ def test_stages_in_turn(spark, sf, tmp_path):
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in given if told[r["doc_id"]].lang_pred != "und" and told[r["doc_id"]].score >= langid.LEAST_SCORE and told[r["doc_id"]].fit >= bounds[told[r["doc_id"]].lang_pred])
     assert {r["doc_id"] for r in given} - {r["doc_id"] for r in rows} == {70001, 70002}
 
-    ids, fps = [r["doc_id"] for r in rows], [plain_fingerprint(r["text"]) for r in rows]
-    want = set(plain_components(ids, fps, 2).values())
+    ids = [r["doc_id"] for r in rows]
+    want = plain_kept([(r["doc_id"], r["text"]) for r in rows])
     df, rows = run("near_dedup", df)
     assert sorted(r["doc_id"] for r in rows) == sorted(want) and len(want) < len(ids)
 
