@@ -44,7 +44,7 @@ TRAIN_ROWS, ROUNDS, SMOOTHING, MOST_PIECE = 400, 4, 0.05, 12
 #: Under this posterior a text counts as undecided: about as likely in three languages or more.
 LEAST_SCORE = 0.3
 #: A training text in so many fits worse than the bound that a language keeps, and a text may fit worse by so much (nats a letter).
-MISFITS, MARGIN = 0.01, 1.0
+MISFITS, MARGIN = 0.01, 2.5
 #: Runs of letters and of numerals that are no digits; `count_words` takes the numerals out.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words remembered by a worker; a word costs about 150 bytes.
