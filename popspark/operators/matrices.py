@@ -288,10 +288,11 @@ def generalized_inverse(a: np.ndarray) -> np.ndarray:
 
 def dominant_eigenvector(m: DataFrame, tolerance: float = 1e-9, most: int = 1000, seed: int = 1) -> list[float] | None:
     """Power iteration from a random start over a p x p table; null if it doesn't settle."""
-    cells = m.toArrow()
-    p = max(cells.column("i").to_pylist(), default=-1) + 1
+    last = m.agg(F.max("i").alias("last")).first().last
+    p = 0 if last is None else last + 1
     if p > MOST_COLUMNS:
         raise ValueError(f"{p} columns; at most {MOST_COLUMNS} can be iterated on the driver")
+    cells = m.toArrow()
     a = np.zeros((p, p))
     a[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("value").to_numpy()
     x = np.random.default_rng(seed).random(p)

@@ -266,9 +266,10 @@ def vector_largest(spark, d):
     return pairs.select("i", vectors.largest(v, w).alias("larger"), F.round(vectors.squared_distance(v, w), 6).alias("d2"), vectors.component(v, 0).alias("x"), F.round(vectors.variance(v), 9).alias("var"))
 
 
-@query("SELECT x.ind AS i, y.ind AS j, x.locus, (((x.a1 = 2)::INT + (x.a2 = 2)::INT) - ((y.a1 = 2)::INT + (y.a2 = 2)::INT)) ** 2 AS d2 FROM g_snp x JOIN g_snp y ON x.locus = y.locus AND x.ind < y.ind WHERE x.a1 <> 0 AND y.a1 <> 0 AND x.locus = 5", "g_snp")
+@query("SELECT x.ind AS i, x.locus, sum((((x.a1 = 2)::INT + (x.a2 = 2)::INT) - ((y.a1 = 2)::INT + (y.a2 = 2)::INT)) ** 2) AS d2, count(*) AS pairs FROM g_snp x JOIN g_snp y ON x.locus = y.locus AND x.ind < y.ind WHERE x.a1 <> 0 AND y.a1 <> 0 GROUP BY ALL", "g_snp")
 def locus_distances(spark, d):
-    return distance.locus_distances(domain.snp(spark, d).where("locus = 5")).withColumn("locus", F.col("locus").cast("int"))
+    each = distance.locus_distances(domain.snp(spark, d))
+    return each.groupBy("i", F.col("locus").cast("int").alias("locus")).agg(F.sum("d2").alias("d2"), F.count("*").alias("pairs"))
 
 
 # The store's logs, results and matrices.

@@ -143,11 +143,12 @@ def triangle_gather(spark, d):
 
 
 @query(
-    "WITH l AS (SELECT x.ind AS i, y.ind AS j, x.locus, ((x.a1 = 2)::INT + (x.a2 = 2)::INT - (y.a1 = 2)::INT - (y.a2 = 2)::INT) ** 2 AS d FROM g_snp x JOIN g_snp y ON x.locus = y.locus AND x.ind < y.ind WHERE x.a1 <> 0 AND y.a1 <> 0 AND x.locus IN (0, 1)) SELECT i, j, sum(d) FILTER (locus = 0) AS first, coalesce(sum(d) FILTER (locus = 0), 0) + coalesce(sum(d) FILTER (locus = 1), 0) AS added, coalesce(sum(d) FILTER (locus = 0), 0) - coalesce(sum(d) FILTER (locus = 1), 0) AS taken FROM l GROUP BY ALL HAVING first IS NOT NULL", "g_snp",
+    "WITH l AS (SELECT x.ind AS i, y.ind AS j, x.locus, ((x.a1 = 2)::INT + (x.a2 = 2)::INT - (y.a1 = 2)::INT - (y.a2 = 2)::INT) ** 2 AS d FROM g_snp x JOIN g_snp y ON x.locus = y.locus AND x.ind < y.ind WHERE x.a1 <> 0 AND y.a1 <> 0) SELECT i, j, sum(d) FILTER (locus < 32) AS first, coalesce(sum(d) FILTER (locus < 32), 0) + coalesce(sum(d) FILTER (locus >= 32), 0) AS added, coalesce(sum(d) FILTER (locus < 32), 0) - coalesce(sum(d) FILTER (locus >= 32), 0) AS taken FROM l GROUP BY ALL HAVING first IS NOT NULL", "g_snp",
 )
 def triangle_add_subtract(spark, d):
-    one = lambda k: distance.locus_distances(domain.snp(spark, d).where(F.col("locus") == k)).select("i", "j", F.col("d2").alias("value"))
-    a, b = one(0), one(1)
+    each = distance.locus_distances(domain.snp(spark, d))
+    half = lambda which: each.where(which).groupBy("i", "j").agg(F.sum("d2").alias("value"))
+    a, b = half("locus < 32"), half("locus >= 32")
     plus, minus = matrices.add_triangles(a, b).withColumnRenamed("value", "added"), matrices.add_triangles(a, b, -1).withColumnRenamed("value", "taken")
     return a.withColumnRenamed("value", "first").join(plus, ["i", "j"]).join(minus, ["i", "j"])
 

@@ -34,6 +34,12 @@ def test_hypergeometric(spark):
     assert abs(r[1].exact - 0.41790) < 1e-4 and math.isclose(r[0].at_least, 1) and r[9].at_least == 0 and r[9].less_than == 1 and math.isnan(r["bad"].exact)
 
 
+def test_log_factorial(spark):
+    ns = spark.createDataFrame([(n,) for n in [-1, *range(40), 10**6, 10**12]], "n long")
+    for r in ns.select("n", statistics.log_factorial(F.col("n")).alias("lf")).collect():
+        assert r.lf is None if r.n < 0 else math.isclose(r.lf, math.lgamma(r.n + 1), rel_tol=1e-13, abs_tol=1e-13)
+
+
 def test_medoid_clusters(spark):
     rows = [(i, float(i % 3 * 100 + i // 3), 0.0, 0.0) for i in range(12)] + [(12, 3.5, 0.0, 0.0)]
     out = statistics.medoid_clusters(spark.createDataFrame(rows, "id int, x double, y double, z double"), 3).collect()
