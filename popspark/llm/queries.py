@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, licenses, mixing, secrets, sharding, simhash, warc
+from . import ann, chat, decontam, langid, licenses, mixing, secrets, sharding, simhash, tokencount, warc
 from .oracles import ORACLES
 
 
@@ -58,9 +58,13 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    each = (op1_language_id, op2_mix_sources, op3_nearest_neighbours, op4_simhash_dedup, op5_chat_perspectives, op6_license_scan, op7_secret_scan, op8_decontaminate, op9_warc_roundtrip, op10_shard)
+    each = (op1_language_id, op2_mix_sources, op3_nearest_neighbours, op4_simhash_dedup, op5_chat_perspectives, op6_license_scan, op7_secret_scan, op8_decontaminate, op9_warc_roundtrip, op10_shard, op11_count_tokens)
     return {f.__name__: f for f in each}
 
 
