@@ -1,7 +1,7 @@
 """DuckDB SQL for the operators' queries.
 
-op1 (a fitted model), op4 (XXH64) and op6 (zstandard) have none: SQL can't
-express them, and tests hold them against brute force.
+op1 (a fitted model), op4 (XXH64), op6 (zstandard), op11 and op12 (tokenizers) have
+none: SQL can't express them, and tests hold them against brute force.
 """
 
 from __future__ import annotations
@@ -88,6 +88,13 @@ e AS (SELECT *, total // 24 + 1 AS big, total % 24 AS longer FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (CASE WHEN place < big * longer THEN place // big ELSE longer + (place - big * longer) // (total // 24) END)::INTEGER AS shard, CASE WHEN place < big * longer THEN place % big ELSE (place - big * longer) % (total // 24) END AS slot, NULL::INTEGER AS grown_shard FROM e
 """
 
+INFILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS c2, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(u[1:least(c1, c2)], ''), '') AS p, coalesce(array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], ''), '') AS m, coalesce(array_to_string(u[greatest(c1, c2) + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
 ORACLES: dict[str, str] = {
     "op2_mix_sources": MIX,
     "op3_nearest_neighbours": NEAREST,
@@ -96,4 +103,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": DECONTAMINATE,
     "op9_warc_roundtrip": WARC,
     "op10_shard": SHARD,
+    "op13_fill_in_middle": INFILL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, licenses, mixing, secrets, sharding, simhash, tokencount, warc
+from . import alignment, ann, chat, decontam, infill, langid, licenses, mixing, secrets, sharding, simhash, tokencount, warc
 from .oracles import ORACLES
 
 
@@ -62,9 +62,17 @@ def op11_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    each = (op1_language_id, op2_mix_sources, op3_nearest_neighbours, op4_simhash_dedup, op5_chat_perspectives, op6_license_scan, op7_secret_scan, op8_decontaminate, op9_warc_roundtrip, op10_shard, op11_count_tokens)
+    each = (op1_language_id, op2_mix_sources, op3_nearest_neighbours, op4_simhash_dedup, op5_chat_perspectives, op6_license_scan, op7_secret_scan, op8_decontaminate, op9_warc_roundtrip, op10_shard, op11_count_tokens, op12_align_tokens, op13_fill_in_middle)
     return {f.__name__: f for f in each}
 
 

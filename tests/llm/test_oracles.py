@@ -19,5 +19,5 @@ def test_native_operators_run_no_python(spark, sf, name):
 
 
 def test_every_operator_is_registered_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) < set(queries.queries())
