@@ -6,7 +6,7 @@ it overlaps. A gap between neighbouring B tokens that no A token spans is the bo
 a group: there tokens of both end.
 
 Words are aligned once and remembered. A text is cut before each single space between
-characters that are no white space (`cut`). Both vocabularies are shown to end a token
+characters that are no white space (CUT). Both vocabularies are shown to end a token
 there: A's pattern lets a space stand only at a word's start or in a run of white space
 of its own; B has no piece with a word mark after another character, which `Aligner`
 checks when it loads. So a text's alignment is that of its pieces in a row. Texts where
@@ -31,13 +31,13 @@ import functools
 import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +45,10 @@ from .common import materialise
 from .tokencount import sliced, vocabulary_file
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: An id pair is one number: A's id in the upper, B's in the lower bits.
-ID_BITS = 24
-#: Pieces remembered by a worker, and the longest of them; about 600 bytes each.
-REMEMBERED, MOST_PIECE = 150_000, 32
+#: An id pair is one number of PAIR_BITS: A's id in the upper, B's in the lower ID_BITS.
+ID_BITS, PAIR_BITS = 20, 40
+#: Pieces remembered by a worker, about 300 bytes each (their pairs are bounded by the eightfold), and characters encoded as one run.
+REMEMBERED, RUN = 300_000, 4000
 #: Pairs that are broadcast with their counts, at most (17 bytes each).
 MOST_COMMON = 200_000
 #: A space with no white space beside it. Python's white space includes that of both vocabularies.
@@ -84,18 +84,20 @@ def links_and_borders(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarra
     return first, last, np.cumsum(spans)[:-1] == 0 if len(b_ends) else np.zeros(0, bool)
 
 
-class Piece(NamedTuple):
-    """The alignment of a piece of text; valid where both vocabularies give its bytes back."""
+class Pieces(NamedTuple):
+    """Alignments of pieces of text: whether both vocabularies give a piece's bytes back, counts, where its id pairs end in `pairs`, and its groups as text."""
 
-    valid: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: tuple[int, ...]
-    groups: str
+    valid: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    pairs: np.ndarray
+    groups: list[str]
 
 
-VOID = Piece(False, 0, 0, 0, (), "")
+def _joined(parts: list[Pieces]) -> Pieces:
+    return Pieces(*[np.concatenate(x) for x in list(zip(*parts, strict=True))[:-1]], [g for p in parts for g in p.groups])
 
 
 class Aligner:
@@ -109,82 +111,137 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         own = _byte_letters()
-        self.a_bytes: dict[int, bytes] = {i: bytes(own[c] for c in t) if all(c in own for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(own[c] for c in t) if all(c in own for c in t) else t.encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes: list[bytes] = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
+        self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
         conf = json.loads(Path(a).read_text())
         known = conf["normalizer"] is None and conf["pre_tokenizer"]["type"] == "ByteLevel" and conf["pre_tokenizer"]["use_regex"] and not conf["pre_tokenizer"]["add_prefix_space"]
         #: Whether pieces may be encoded apart.
         self.local = known and not any(MARK in n.lstrip(MARK) for n in names)
-        self.memo: dict[str, Piece] = {}
-
-    def pieces(self, texts: list[str]) -> list[Piece]:
-        """The alignment of each text, encoded as one: a space and the text by A, the text by B, which adds the space."""
-        if not texts:
-            return []
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        ids_b = self.b.encode(texts, num_threads=1)
-        at_a, at_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        whole = [(" " + t).encode() for t in texts]
-        good = [bool(t) and b"".join(map(at_a, a)) == w == b"".join(map(at_b, b)) for t, w, a, b in zip(texts, whole, ids_a, ids_b, strict=True)]
-        out = [VOID] * len(texts)
-        keep = [i for i, ok in enumerate(good) if ok]
-        # One index over all of them: their bytes stand in a row, so no token of one overlaps those of another.
-        flat_a, flat_b = [x for i in keep for x in ids_a[i]], [x for i in keep for x in ids_b[i]]
-        ends = lambda flat, table: np.cumsum(np.fromiter((len(table(x)) for x in flat), np.int64, len(flat)))
-        first, last, border = links_and_borders(ends(flat_a, at_a), ends(flat_b, at_b))
-        first, last, border = first.tolist(), last.tolist(), border.tolist()
-        a = b = 0
-        for i in keep:
-            pairs: list[int] = []
-            groups: list[str] = []
-            left: list[int] = []
-            right: list[int] = []
-            taken = b
-            for x in ids_a[i]:
-                for k in range(first[a], last[a] + 1):
-                    pairs.append(x << ID_BITS | flat_b[k])
-                left.append(x)
-                while taken <= last[a]:
-                    right.append(flat_b[taken])
-                    taken += 1
-                if border[last[a]] and (a + 1 == len(flat_a) or first[a + 1] > last[a]):
-                    groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                    left, right = [], []
-                a += 1
-            b += len(ids_b[i])
-            out[i] = Piece(True, len(ids_a[i]), len(ids_b[i]), len(groups), tuple(pairs), ";".join(groups))
-        return out
-
-    def documents(self, texts: list[str]) -> list[tuple[int, int, int, int, str, list[dict]]]:
-        """n_a, n_b, n_groups, n_links, the groups' digest, and the different pairs with their times of each text."""
-        split = [CUT.split(t) if t and self.local and MARK not in t else [t] for t in texts]
-        new = list({p for ps in split for p in ps}.difference(self.memo))
-        self.memo.update(zip(new, self.pieces(new), strict=True))
-        out = []
-        for text, ps in zip(texts, split, strict=True):
-            found = [self.memo[p] for p in ps]
-            if not all(f.valid for f in found):
-                found = self.pieces([text]) if len(ps) > 1 else found
-            if not text or not found[0].valid:
-                out.append((0, 0, 0, 0, "", []))
-                continue
-            times: Counter[int] = Counter()
-            if len(found) == len(ps):
-                for p, n in Counter(ps).items():
-                    for pair in self.memo[p].pairs:
-                        times[pair] += n
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.known = self.pieces([])
+        self.starts = np.zeros(0, np.int64)
+
+    def pieces(self, texts: list[str]) -> Pieces:
+        """The alignment of each text, encoded as one: a space and the text by A, the text by B, which adds the space.
+
+        Texts that neither begin nor end with white space are encoded in runs, with
+        the space between them at which both vocabularies cut. A run that does not
+        come back byte for byte, or is not cut there, is encoded text by text.
+        """
+        runs: list[list[int]] = [[]]
+        size = RUN
+        for i, t in enumerate(texts):
+            clean = self.local and t and not t[0].isspace() and not t[-1].isspace() and MARK not in t
+            if size + len(t) >= RUN or not clean:
+                runs.append([])
+                size = 0
+            runs[-1].append(i)
+            size = size + len(t) + 1 if clean else RUN
+        runs = [r for r in runs if r]
+        fine, odd = self._encoded(texts, runs)
+        again, void = self._encoded(texts, [[i] for r in odd for i in r])
+        order = [i for r, *_ in (*fine, *again) for i in r]
+        at = np.empty(len(texts), np.int64)
+        at[order + [i for r in void for i in r]] = np.arange(len(texts))
+        done = self._aligned(texts, order, [x for _, x, _ in (*fine, *again)], [x for *_, x in (*fine, *again)], len(void))
+        ends = np.cumsum(done.n_links)
+        pairs = done.pairs[_ranges(ends[at] - done.n_links[at], done.n_links[at])]
+        return Pieces(*[x[at] for x in done[:5]], pairs, [done.groups[i] for i in at.tolist()])
+
+    def _encoded(self, texts: list[str], runs: list[list[int]]) -> tuple[list[tuple[list[int], np.ndarray, np.ndarray]], list[list[int]]]:
+        """The runs with their ids by A and B, and the runs that do not come back or are not cut between their texts."""
+        if not runs:
+            return [], []
+        joined = [" ".join([texts[i] for i in r]) for r in runs]
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in joined], add_special_tokens=False)]
+        ids_b = self.b.encode(joined, num_threads=1)
+        fine, odd = [], []
+        for r, t, a, b in zip(runs, joined, ids_a, ids_b, strict=True):
+            whole = (" " + t).encode()
+            ok = t and b"".join([self.a_bytes[x] for x in a]) == whole == b"".join([self.b_bytes[x] for x in b])
+            if ok and len(r) > 1:
+                cuts = np.cumsum([len(texts[i].encode()) + 1 for i in r])
+                ok = np.isin(cuts, np.cumsum(self.a_sizes[a])).all() and np.isin(cuts, np.cumsum(self.b_sizes[b])).all()
+            if ok:
+                fine.append((r, np.array(a, np.int64), np.array(b, np.int64)))
             else:
-                times.update(found[0].pairs)
-            groups = hashlib.sha256(";".join(f.groups for f in found).encode()).hexdigest()
-            sums = [sum(f[k] for f in found) for k in (1, 2, 3)]
-            out.append((*sums, sum(times.values()), groups, times))
-        for p in new:
-            if len(p) > MOST_PIECE:
-                del self.memo[p]
-        if len(self.memo) > REMEMBERED:
-            self.memo = {}
-        return out
+                odd.append(r)
+        return fine, odd
+
+    def _aligned(self, texts: list[str], order: list[int], ids_a: list[np.ndarray], ids_b: list[np.ndarray], void: int) -> Pieces:
+        """The alignments of the texts in this order, whose ids stand in a row, and of `void` texts without tokens."""
+        n = len(order)
+        none = np.zeros(void, np.int64)
+        if not n:
+            return Pieces(none.astype(bool), none, none, none, none, np.zeros(0, np.int64), [""] * void)
+        # One index over all: their bytes stand in a row, so no token of one text overlaps those of another.
+        a, b = np.concatenate(ids_a), np.concatenate(ids_b)
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        first, last, border = links_and_borders(ends_a, ends_b)
+        cuts = np.cumsum([len(texts[i].encode()) + 1 for i in order])
+        of_a, of_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        count = lambda x: np.concatenate([np.bincount(x, minlength=n), none])
+        times = last - first + 1
+        pairs = np.repeat(a, times) << ID_BITS | b[_ranges(first, times)]
+        # Tokens of both sides in order of their groups, A's first, each with the mark that follows it.
+        group_b = np.cumsum(border) - border
+        group = np.concatenate([group_b[first], group_b])
+        side, owner = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([of_a, of_b])
+        sort = np.argsort(2 * group + side, kind="stable")
+        group, side, owner = group[sort], side[sort], owner[sort]
+        mark = np.where(owner[1:] != owner[:-1], 3, np.where(group[1:] != group[:-1], 2, (side[1:] != side[:-1]).astype(int)))
+        words = pa.compute.binary_join_element_wise(pa.array(np.concatenate([a, b])[sort]).cast(pa.string()), pa.array([",", "|", ";", ""]).take(pa.array(np.append(mark, 3))), "")
+        stops = np.append(0, np.cumsum(np.bincount(owner, minlength=n)))
+        texts_of = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), words), "").to_pylist()
+        return Pieces(np.arange(n + void) < n, count(of_a), count(of_b), count(of_b[border]), count(np.repeat(of_a, times)), pairs, texts_of + [""] * void)
+
+    def look_up(self, pieces: list[str]) -> np.ndarray:
+        """The place of each piece in `known`; new ones are aligned first."""
+        new = list(set(pieces).difference(self.memo))
+        if new:
+            self.memo.update(zip(new, range(len(self.known.valid), len(self.known.valid) + len(new)), strict=True))
+            self.known = _joined([self.known, self.pieces(new)])
+            self.starts = np.cumsum(self.known.n_links) - self.known.n_links
+        return np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+
+    def documents(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """For each text n_a, n_b, n_groups, n_links and the groups' digest; then the different (text, pair, times)."""
+        if len(self.memo) > REMEMBERED or len(self.known.pairs) > 8 * REMEMBERED:
+            self.forget()
+        split = [CUT.split(t) if t and self.local and MARK not in t else [t] for t in texts]
+        place = self.look_up([p for ps in split for p in ps])
+        sizes = np.array([len(ps) for ps in split])
+        ends = np.cumsum(sizes)
+        whole = np.logical_and.reduceat(self.known.valid[place], ends - sizes)
+        for i in np.flatnonzero(~whole).tolist():
+            if sizes[i] > 1:  # as a whole, the last word on what comes back
+                split[i] = [texts[i]]
+        if any(len(ps) != n for ps, n in zip(split, sizes.tolist(), strict=True)):
+            place = self.look_up([p for ps in split for p in ps])
+            sizes = np.array([len(ps) for ps in split])
+            ends = np.cumsum(sizes)
+        sums = [np.add.reduceat(x[place], ends - sizes) for x in self.known[1:5]]
+        groups, strings, at = self.known.groups, [], place.tolist()
+        for a, z, n in zip((ends - sizes).tolist(), ends.tolist(), sums[0].tolist(), strict=True):
+            strings.append(hashlib.sha256(";".join([groups[i] for i in at[a:z]]).encode()).hexdigest() if n else "")
+        links = self.known.n_links[place]
+        owner = np.repeat(np.repeat(np.arange(len(texts)), sizes), links)
+        pairs = self.known.pairs[_ranges(self.starts[place], links)]
+        keys, times = np.unique(owner << PAIR_BITS | pairs, return_counts=True)
+        return sums, strings, keys >> PAIR_BITS, keys & ((1 << PAIR_BITS) - 1), times
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] numbers, then from starts[1], and so on."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def _byte_letters() -> dict[str, int]:
@@ -211,11 +268,9 @@ def aligned(docs: DataFrame, a: str = BYTE_VOCABULARY, b: str = PIECE_VOCABULARY
         al = aligner(a, b)
         for batch in batches:
             for part, texts in sliced(batch):
-                found = al.documents(texts)
-                *counts, groups, times = zip(*found, strict=True)
-                ends = np.cumsum([0, *map(len, times)])
-                flat = lambda get: np.fromiter((x for t in times if t for x in get(t)), np.int64, ends[-1])
-                links = pa.StructArray.from_arrays([pa.array(flat(lambda t: t.keys())), pa.array(flat(lambda t: t.values()))], names=["pair", "times"])
+                counts, groups, owner, pairs, times = al.documents(texts)
+                links = pa.StructArray.from_arrays([pa.array(pairs), pa.array(times, pa.int64())], names=["pair", "times"])
+                ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts))))
                 columns = [*[pa.array(c, pa.int64()) for c in counts], pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), links)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), *columns], names=["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
 
