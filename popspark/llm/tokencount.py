@@ -252,8 +252,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "tex
     ids = first.where("chunk = 0").select("row", "id", "n_bytes")
     more = not windows.isEmpty()
     while more:
-        parts = materialise(_splice(_encode(windows, vocabulary, chunk, overlap)), "splices")
-        sums = parts.groupBy("row").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens").isNull()).alias("apart"))
+        encoded = materialise(_encode(windows, vocabulary, chunk, overlap), "encoded")
+        sums = _splice(encoded).groupBy("row").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens").isNull()).alias("apart"))
         out = out.unionByName(ids.join(sums.where("apart = 0"), "row").select(*names))
         open_rows = sums.where("apart > 0").select("row")
         more = not open_rows.isEmpty()
