@@ -1,33 +1,20 @@
 """Graphs: nodes (id, ordinal) and directed weighted edges (edge_ord, src, dst, weight).
 
 Covers N1-N14, A57-A59, J17, P39-P41. A symmetric edge is two rows. Shortest paths
-relax frontiers with joins; each round is written to the shared folder, so a graph
-of any size keeps a short lineage and survives lost executors.
+relax frontiers with joins; rounds are written to the shared folder, so a graph of any
+size keeps a short lineage and survives lost executors.
 """
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stages import saved
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    """df written under spark.checkpoint.dir (a temporary folder only in a local session without one) and read again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="popspark-graph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Steps of shortest paths between two writes.
+RELAXATIONS = 3
 
 
 def add_nodes(nodes: DataFrame, more: DataFrame) -> DataFrame:
@@ -71,52 +58,90 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
-    """src, dst, distance, path (ids) of every reachable pair, from all or the given sources; a node reaches itself at 0.
+def path_forest(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
+    """src, dst, distance, pred: for all or the given sources the tree of shortest paths to all they reach; a source reaches itself at 0, without pred.
 
     Of equally short paths the one whose last step comes from the nearer (then, by
-    ordinal, the earlier) node is taken. Weights are not negative. Each round
-    relaxes only what the last one improved; when nothing improves it ends.
+    ordinal, the earlier) node is taken. Weights are not negative; a step of weight 0
+    never leads back.
+
+    What a round improved is relaxed in the next if it lies in the current bucket of
+    distances; the rest waits, so that little is relaxed twice. Buckets double in
+    width. A candidate carries its predecessor, and the least candidate of a node wins,
+    so trees need no pass of their own. RELAXATIONS steps are one plan and one write.
     """
-    arcs = edges.where("src <> dst").groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.min("weight").cast("double").alias("w"))
-    start = (nodes if sources is None else sources).select(F.col("id").alias("src"))
-    best = _saved(start.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")), "paths")
+    order = nodes.select(F.col("id").alias("u"), F.col("ordinal").cast("long").alias("u_ord"))
+    arcs = saved(edges.where("src <> dst").groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.min("weight").cast("double").alias("w")).join(order, "u", "left"), "arcs")
+    key = nodes.schema["id"].dataType.simpleString()
+    start = (nodes if sources is None else sources).select(F.col("id").alias("src")).distinct()
+    # In the order in which candidates are compared; `zeros` counts the last steps of weight 0, `open` says that it is yet to be relaxed.
+    kind = f"struct<distance:double,zeros:int,at:double,at_zeros:int,u_ord:long,pred:{key},open:boolean>"
+    root = F.struct(F.lit(0.0), F.lit(0), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(True)).cast(kind)
+    best = start.select("src", F.col("src").alias("dst"), root.alias("m"))
+    width = (arcs.agg(F.avg("w")).first()[0] or 0.0) * RELAXATIONS
+    bucket = width
     for _ in range(rounds):
-        reached = best.where("fresh").join(arcs, F.col("dst") == F.col("u")).select("src", F.col("v").alias("dst"), (F.col("distance") + F.col("w")).alias("distance"), F.lit(True).alias("fresh"))
-        if not reached.limit(1).count():
-            break
-        both = best.select("src", "dst", "distance", F.lit(False).alias("fresh")).unionByName(reached)
-        # On equal distances false sorts first, so what was known is not fresh again.
-        best = _saved(both.groupBy("src", "dst").agg(F.min(F.struct("distance", "fresh")).alias("m")).select("src", "dst", "m.distance", "m.fresh"), "paths")
-        if not best.where("fresh").limit(1).count():
+        step = best
+        for _ in range(RELAXATIONS):
+            step = _relaxed(step, arcs, bucket, kind)
+        best = saved(step, "paths")
+        least = best.where("m.open").agg(F.min("m.distance")).first()[0]
+        if least is None:
             break
-    best = best.select("src", "dst", "distance")
-    # Predecessors: of the arcs on a shortest path into a node, the tail nearest to the source.
-    order = nodes.select(F.col("id").alias("u"), F.col("ordinal").alias("u_ord"))
-    tails = best.select("src", F.col("dst").alias("u"), F.col("distance").alias("du")).join(arcs, "u").join(order, "u")
-    onto = tails.join(best.select("src", F.col("dst").alias("v"), F.col("distance").alias("dv")), ["src", "v"])
-    exact = onto.where((F.col("du") + F.col("w") == F.col("dv")) & (F.col("v") != F.col("src")))
-    pred = exact.groupBy("src", "v").agg(F.min_by("u", F.struct("du", "u_ord")).alias("u"))
-    pred = _saved(pred, "predecessors")
-    done = _saved(best.where("src = dst").select("src", "dst", "distance", F.array("src").alias("path")), "walks")
-    frontier = done
-    while True:
-        step = frontier.select("src", F.col("dst").alias("u"), "path").join(pred, ["src", "u"])
-        step = _saved(step.join(best.select("src", F.col("dst").alias("v"), "distance"), ["src", "v"]).select("src", F.col("v").alias("dst"), "distance", F.concat("path", F.array("v")).alias("path")), "walks")
-        if not step.limit(1).count():
-            return done
-        done, frontier = done.unionByName(step), step
+        if least >= bucket:
+            bucket = max(2 * bucket, least + width)
+    return best.select("src", "dst", "m.distance", "m.pred")
+
+
+def _relaxed(best: DataFrame, arcs: DataFrame, bucket: float, kind: str) -> DataFrame:
+    m = F.col("m")
+    now = m["open"] & (m["distance"] <= bucket)
+    met = best.join(arcs, (F.col("dst") == F.col("u")) & now, "left")
+    # A row is sent on with each of its node's arcs; the least of equal ones is taken. So the table is read once a step.
+    own = F.struct(F.col("dst").alias("dst"), m.withField("open", m["open"] & ~now).alias("m"))
+    zero = F.col("w") == 0
+    candidate = F.struct(m["distance"] + F.col("w"), F.when(zero, m["zeros"] + 1).otherwise(0), m["distance"], F.when(zero, m["zeros"]).otherwise(0), F.col("u_ord"), F.col("dst"), F.lit(True)).cast(kind)
+    rows = met.select("src", F.explode(F.when(F.col("u").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("v").alias("dst"), candidate.alias("m"))))).alias("r"))
+    return rows.select("src", "r.dst", "r.m").groupBy("src", "dst").agg(F.min("m").alias("m"))
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
+    """src, dst, distance, path (ids) of every reachable pair (N6, N7), by the rules of `path_forest`.
+
+    Pointers to predecessors are doubled: each round joins a stretch of a path with
+    that before it, so the rounds are the logarithm of the steps.
+    """
+    forest = path_forest(nodes, edges, sources, rounds)
+    held = saved(forest.select("src", "dst", "distance", F.col("pred").alias("jump"), F.array("dst").alias("path")), "walks")
+    while not held.where("jump is not null").isEmpty():
+        before = held.select("src", F.col("dst").alias("jump"), F.col("jump").alias("next"), F.col("path").alias("head"))
+        longer = held.where("jump is not null").join(before, ["src", "jump"]).select("src", "dst", "distance", F.col("next").alias("jump"), F.concat("head", "path").alias("path"))
+        held = saved(held.where("jump is null").unionByName(longer), "walks")
+    return held.select("src", "dst", "distance", "path")
 
 
 def closeness(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """id, closeness: reachable others over their summed distances; 0 if none."""
+    """id, closeness: reachable others over their summed distances; 0 if none (N8). paths is a forest or has the same columns."""
     sums = paths.where("src <> dst").groupBy(F.col("src").alias("id")).agg((F.count("*") / F.sum("distance")).alias("c"))
     return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("c", F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """id, betweenness: inner nodes of one path an ordered pair, over (n - 1)(n - 2)."""
-    inner = paths.where(F.size("path") > 2).select(F.explode(F.slice("path", F.lit(2), F.size("path") - 2)).alias("id")).groupBy("id").agg(F.count("*").alias("c"))
+def betweenness(nodes: DataFrame, forest: DataFrame) -> DataFrame:
+    """id, betweenness: inner nodes of one path an ordered pair, over (n - 1)(n - 2).
+
+    A node is inside the paths to all that hang below it in a source's tree. Those are
+    counted by doubling pointers: below a node are those within 2^k steps, and those
+    within 2^k steps of a node that is 2^k steps below.
+    """
+    # The source itself is inside none of its paths: pointers end below it.
+    jump = F.when(F.col("pred") != F.col("src"), F.col("pred"))
+    held = saved(forest.where("src <> dst").select("src", "dst", jump.alias("jump"), F.lit(1).cast("long").alias("below")), "subtrees")
+    while not held.where("jump is not null").isEmpty():
+        still = held.where("jump is not null")
+        gained = still.groupBy("src", F.col("jump").alias("dst")).agg(F.sum("below").alias("gained"))
+        further = still.join(held.select("src", F.col("dst").alias("jump"), F.col("jump").alias("next")), ["src", "jump"]).select("src", "dst", "next")
+        held = saved(held.join(gained, ["src", "dst"], "left").join(further, ["src", "dst"], "left").select("src", "dst", F.col("next").alias("jump"), (F.col("below") + F.coalesce("gained", F.lit(0))).alias("below")), "subtrees")
+    inner = held.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("below") - 1).alias("c"))
     n = nodes.agg(F.count("*").alias("n"))
     scale = F.greatest((F.col("n") - 1) * (F.col("n") - 2), F.lit(1))
     return nodes.select("id").join(inner, "id", "left").crossJoin(F.broadcast(n)).select("id", (F.coalesce("c", F.lit(0)) / scale).alias("betweenness"))
@@ -132,8 +157,8 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-6, mos
     ids = [r[0] for r in nodes.select("id").orderBy("id").limit(small + 1).collect()]
     if len(ids) <= small:
         return _eigenvector_small(nodes, edges, ids, tolerance, most)
-    a = _saved(adjacency(edges).select(F.col("i").alias("r"), F.col("j").alias("c"), "value"), "adjacency")
-    x = _saved(nodes.select("id", F.lit(1.0).alias("x")), "eigen")
+    a = saved(adjacency(edges).select(F.col("i").alias("r"), F.col("j").alias("c"), "value"), "adjacency")
+    x = saved(nodes.select("id", F.lit(1.0).alias("x")), "eigen")
 
     def one(v: DataFrame) -> DataFrame:
         moved = a.join(v, a["c"] == v["id"]).select(F.col("r").alias("id"), (F.col("value") * F.col("x")).alias("x")).unionByName(v)
@@ -148,7 +173,7 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-6, mos
             before = x
             x = one(x)
             done += 1
-        x = _saved(x, "eigen")
+        x = saved(x, "eigen")
         change = x.join(before.select("id", F.col("x").alias("y")), "id").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("d")).first().d
         if change is None or change < tolerance:
             break
@@ -181,17 +206,17 @@ def random_layout(nodes: DataFrame, seed: int, radius: float = 500.0, flat: bool
 
 def small_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Four nodes: a triangle of symmetric edges and one directed edge out of it."""
-    nodes = spark.createDataFrame([(n, i, 1.0) for i, n in enumerate("ABCD")], "id string, ordinal int, size double")
+    # Fixed values.
+    sizes = {"A": 1.0, "B": 1.0, "C": 1.5, "D": 2.0}
+    nodes = spark.createDataFrame([(n, i, v) for i, (n, v) in enumerate(sizes.items())], "id string, ordinal int, size double")
     pairs = [("A", "B", 1.0), ("B", "C", 2.0), ("C", "A", 3.0)]
     rows = [e for a, b, w in pairs for e in ((a, b, w), (b, a, w))] + [("C", "D", 4.0)]
     return nodes, spark.createDataFrame([(i, *e) for i, e in enumerate(rows)], "edge_ord int, src string, dst string, weight double")
 
 
 def knn_edges(points: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """edge_ord, src, dst, weight: each point to its k nearest others. Quadratic in the points."""
-    from popspark.functions.vectors import distance
+    """edge_ord, src, dst, weight: each point to its k nearest others, ties to the smaller key."""
+    from .neighbours import nearest
 
-    a, b = points.select(F.col(key).alias("src"), F.col(vector).alias("va")), points.select(F.col(key).alias("dst"), F.col(vector).alias("vb"))
-    d = a.join(b, F.col("src") != F.col("dst")).select("src", "dst", distance(F.col("va"), F.col("vb")).alias("weight"))
-    near = d.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("weight", "dst"))).where(F.col("k") <= k)
-    return near.select((F.col("src") * k + F.col("k")).alias("edge_ord"), "src", "dst", "weight")
+    near = nearest(points, key, vector, k)
+    return near.select((F.col("src") * k + F.col("rank")).alias("edge_ord"), "src", "dst", "weight")

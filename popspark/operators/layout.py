@@ -1,8 +1,8 @@
 """Force-directed layout as joins: pair forces, spring forces, integration.
 
 Covers N15-N33, P42, E55-E68. Nodes are (id, ordinal, x, y, z, vx, vy, vz, radius,
-pinned, px, py, pz); edges carry an activation alpha. Forces between all pairs are
-quadratic by definition.
+pinned, px, py, pz); edges carry an activation alpha. Repulsion acts between all pairs,
+which are dealt to pairs of blocks; collisions are found by a grid.
 """
 
 from __future__ import annotations
@@ -63,9 +63,9 @@ def exponential_cooling(temperature: float, factor: float) -> float:
     return temperature * factor
 
 
-def linear_cooling(initial: float, iteration: int, most: int) -> float:
+def linear_cooling(initial: float, iteration: int | Column, most: int) -> float | Column:
     """N21, E68."""
-    return initial * (1.0 - iteration / most)
+    return (1.0 - iteration / most) * initial
 
 
 def ramp(alpha: Column, target: Column, speed: Column, dt: float) -> Column:
@@ -84,23 +84,73 @@ def effective_stiffness(alpha: Column, stiffness: float) -> Column:
 
 
 AXES = ("x", "y", "z")
+#: Nodes of one side of a join of pairs under one key, about.
+CROWD = 1000
 
 
 def _length(*delta: Column) -> Column:
     return F.sqrt(sum((d * d for d in delta[1:]), delta[0] * delta[0]))
 
 
+def _meet(left: DataFrame, right: DataFrame, cell: list[str], sizes: DataFrame) -> DataFrame:
+    """left and right rows of equal cells. A cell of many is cut into parts of about CROWD on both sides, so that no key is crowded."""
+    parts = sizes.select(*cell, F.greatest(F.lit(1), F.ceil(F.col("n") / CROWD)).cast("int").alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = left.join(parts, cell).withColumn("one", part("id")).withColumn("two", every).drop("parts")
+    b = right.join(parts, cell).withColumn("two", part("other")).withColumn("one", every).drop("parts")
+    return a.join(b, [*cell, "one", "two"]).drop("one", "two")
+
+
+def _sides(nodes: DataFrame, axes: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    return nodes.select("id", "radius", *axes), nodes.select(F.col("id").alias("other"), F.col("radius").alias("r2"), *[F.col(c).alias(f"{c}2") for c in axes])
+
+
+def touching(nodes: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Both orders of every two nodes whose discs overlap: id, radius and axes of one, other, r2 and axes with a 2 of the other, and d.
+
+    Nodes lie in the cells of a grid as wide as the largest diameter, so what a node
+    touches is in its cell or a neighbouring one (3 to the number of axes).
+    """
+    a, b = _sides(nodes, axes)
+    widest = nodes.agg(F.greatest(2 * F.max("radius"), F.lit(1e-9)).alias("cell"))  # one row
+    grid = [f"g{c}" for c in axes]
+    at = lambda c: F.floor(F.col(c) / F.col("cell"))
+    b = b.crossJoin(F.broadcast(widest)).select("*", *[at(f"{c}2").alias(g) for c, g in zip(axes, grid, strict=True)]).drop("cell")
+    a = a.crossJoin(F.broadcast(widest))
+    for c, g in zip(axes, grid, strict=True):
+        a = a.withColumn(g, F.explode(F.sequence(at(c) - 1, at(c) + 1)))
+    met = _meet(a.drop("cell"), b, grid, b.groupBy(*grid).agg(F.count("*").alias("n")))
+    d = _length(*[F.col(c) - F.col(f"{c}2") for c in axes])
+    return met.where("id <> other").withColumn("d", d).where(F.col("radius") + F.col("r2") > F.col("d")).drop(*grid)
+
+
+def every_pair(nodes: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Both orders of all pairs, with the columns of `touching`, dealt to pairs of blocks of about CROWD nodes."""
+    a, b = (side.withColumn("all", F.lit(0)) for side in _sides(nodes, axes))
+    met = _meet(a, b, ["all"], b.groupBy("all").agg(F.count("*").alias("n"))).drop("all")
+    return met.where("id <> other").withColumn("d", _length(*[F.col(c) - F.col(f"{c}2") for c in axes]))
+
+
+def collision_forces(nodes: DataFrame, config: Configuration, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """id and force components of the overlaps; nodes within 0.01 of each other have no direction and exert none."""
+    strength = (F.col("radius") + F.col("r2") - F.col("d")) * config.collision_strength
+    return _pushed(touching(nodes, axes), strength, axes)
+
+
+def _pushed(pairs: DataFrame, strength: Column, axes: tuple[str, ...]) -> DataFrame:
+    return pairs.where("d > 0.01").select("id", *[((F.col(c) - F.col(f"{c}2")) / F.col("d") * strength).alias(f"f{c}") for c in axes])
+
+
 def pair_forces(nodes: DataFrame, config: Configuration, axes: tuple[str, ...] = AXES, collisions: bool | None = None, repulsion: bool = True) -> DataFrame:
-    """id and force components of repulsion and collision over all pairs."""
-    a = nodes.select("id", "radius", *axes)
-    b = nodes.select(F.col("id").alias("other"), F.col("radius").alias("r2"), *[F.col(c).alias(f"{c}2") for c in axes])
-    delta = {c: F.col(c) - F.col(f"{c}2") for c in axes}
-    pairs = a.join(b, F.col("id") != F.col("other")).withColumn("d", _length(*delta.values())).where("d > 0.01")
-    strength = repulsive_force(config.k, F.col("d"), config.repulsion) if repulsion else F.lit(0.0)
+    """id and force components of repulsion, over all pairs, and of collisions, over those that overlap."""
+    parts = []
+    if repulsion:
+        parts.append(_pushed(every_pair(nodes, axes), repulsive_force(config.k, F.col("d"), config.repulsion), axes))
     if config.collisions if collisions is None else collisions:
-        overlap = F.col("radius") + F.col("r2") - F.col("d")
-        strength = strength + F.when(overlap > 0, overlap * config.collision_strength).otherwise(0.0)
-    return pairs.select("id", *[(delta[c] / F.col("d") * strength).alias(f"f{c}") for c in axes])
+        parts.append(collision_forces(nodes, config, axes))
+    none = nodes.limit(0).select("id", *[F.lit(0.0).alias(f"f{c}") for c in axes])
+    return none if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def spring_forces(nodes: DataFrame, edges: DataFrame, config: Configuration, axes: tuple[str, ...] = AXES) -> DataFrame:
@@ -201,8 +251,10 @@ def progress(iteration: int, most: int) -> float:
     return iteration / most
 
 
-def reheated(temperature: float, config: Configuration, boost: float = 200.0) -> float:
+def reheated(temperature: float | Column, config: Configuration, boost: float = 200.0) -> float | Column:
     """E59."""
+    if isinstance(temperature, Column):
+        return F.least(temperature + boost, F.lit(config.initial_temperature))
     return min(temperature + boost, config.initial_temperature)
 
 

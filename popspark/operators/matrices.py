@@ -3,8 +3,8 @@
 Covers A22-A25, U1-U4, M26-M54, P11-P18, S18, K5, K9-K12. Cells that are absent
 read as NaN from a full matrix and as 0 from a triangle. Element-wise operations
 and sums are joins and aggregations on the indices, so a matrix may be of any
-size; factorisations reduce the rows to a p x p Gram table first and factor that on
-the driver, which needs p (columns), not n (rows), to be small.
+size; factorisations reduce the rows to a p x p triangle by a tree of QR steps and
+factor that on the driver, which needs p (columns), not n (rows), to be small.
 """
 
 from __future__ import annotations
@@ -12,12 +12,17 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.functions.vectors import divide, nan
 
+from .stages import numbered, saved
+
 MOST_COLUMNS = 4096  # a p x p table that the driver may factor: 128 MB
+FAN = 4  # triangles of a step of the reduction
 
 
 def from_nested(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
@@ -25,6 +30,12 @@ def from_nested(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
     return spark.createDataFrame([(i, j, float(x)) for i, r in enumerate(rows) for j, x in enumerate(r)], "i int, j int, value double")
 
 
+def from_vector(df: DataFrame, order: str, value: str, columns: int) -> DataFrame:
+    """The values in order as a long matrix of so many columns, row by row."""
+    place = numbered(df.select(order, F.col(value).cast("double").alias("value")), [order], "place")
+    return place.select(F.floor(F.col("place") / columns).cast("int").alias("i"), (F.col("place") % columns).cast("int").alias("j"), "value")
+
+
 def from_arrays(df: DataFrame, row: str, values: str) -> DataFrame:
     """A row index and an array column as a long matrix."""
     return df.select(F.col(row).alias("i"), F.posexplode(values).alias("j", "value"))
@@ -220,31 +231,66 @@ def named_cell(m: DataFrame, a: str, b: str) -> DataFrame:
     return m.where(((F.col("GroupA") == a) & (F.col("GroupB") == b)) | ((F.col("GroupA") == b) & (F.col("GroupB") == a)))
 
 
-def gram(rows: DataFrame, vector: str, center: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X, column means and row count, summed on the executors in p x p blocks."""
-    import pyarrow as pa
+def means(rows: DataFrame, vector: str) -> tuple[np.ndarray, int]:
+    """Column means of the rows' vectors and their number; rows without a vector do not count."""
 
     def partial(batches):
-        total, sums, n = None, None, 0
+        sums, n = None, 0
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                total = x.T @ x if total is None else total + x.T @ x
                 sums = x.sum(axis=0) if sums is None else sums + x.sum(axis=0)
                 n += len(x)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tolist()]), pa.array([total.ravel().tolist()])], names=["n", "sums", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tolist()])], names=["n", "sums"])
 
-    parts = rows.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull()).mapInArrow(partial, "n long, sums array<double>, gram array<double>")
-    # Summed position by position, so the driver gets one p x p table however many tasks there were.
-    sums = parts.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toArrow().column("x").to_numpy()
-    p = len(sums)
-    if p > MOST_COLUMNS:
-        raise ValueError(f"{p} columns; at most {MOST_COLUMNS} can be factored on the driver")
-    cells = parts.select(F.posexplode("gram").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toArrow().column("x").to_numpy()
-    n = parts.agg(F.sum("n")).first()[0] or 0
-    g, mean = cells.reshape(p, p), sums / max(n, 1)
-    return (g - n * np.outer(mean, mean) if center else g), mean, n
+    parts = _vectors(rows, vector).mapInArrow(partial, "n long, sums array<double>")
+    # Summed position by position, so the driver gets one row of sums however many tasks there were.
+    at = parts.select("n", F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("at").limit(MOST_COLUMNS + 1).toArrow()
+    if at.num_rows > MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} columns")
+    n = at.column("n")[0].as_py() if at.num_rows else 0
+    return at.column("x").to_numpy() / max(n, 1), n
+
+
+def _vectors(rows: DataFrame, vector: str) -> DataFrame:
+    return rows.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+
+
+def triangular_factor(rows: DataFrame, vector: str, center: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """R of X = QR for the rows' vectors (less their means if centred), the means, and the number of rows.
+
+    Each task reduces its rows to one triangle by Householder reflections; triangles
+    are stacked and reduced FAN at a time until one is left. X'X, which would square
+    the condition number, is never formed.
+    """
+    mean, n = means(rows, vector)
+    p = len(mean)
+    shift = mean if center else np.zeros(p)
+
+    def reduce_rows(batches):
+        held = np.zeros((0, p))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - shift
+            # In pieces about as long as they are wide: the stack stays small.
+            for k in range(0, len(x), max(p, 256)):
+                held = np.linalg.qr(np.vstack([held, x[k : k + max(p, 256)]]), mode="r")
+        if held.size:
+            yield triangle(TaskContext.get().partitionId(), held)
+
+    def triangle(part: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], names=["part", "r"])
+
+    def merge(key, t):
+        stack = np.vstack([r.values.to_numpy().reshape(-1, p) for r in t.column("r")])
+        return pa.Table.from_batches([triangle(key[0].as_py(), np.linalg.qr(stack, mode="r"))])
+
+    schema = "part int, r array<double>"
+    held = saved(_vectors(rows, vector).mapInArrow(reduce_rows, schema), "triangles")
+    while held.count() > 1:
+        held = saved(held.groupBy(F.floor(F.col("part") / FAN).cast("int").alias("part")).applyInArrow(merge, schema), "triangles")
+    last = held.first()
+    return (np.array(last.r).reshape(-1, p) if last is not None else np.zeros((0, p))), mean, n
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
@@ -254,11 +300,12 @@ def _signed(v: np.ndarray) -> np.ndarray:
 
 
 def singular_values(rows: DataFrame, vector: str, center: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """d and V of X = U d V' from the Gram table, columns by falling d; the means; n."""
-    g, mean, n = gram(rows, vector, center)
-    values, vectors = np.linalg.eigh(g)
-    order = np.argsort(values)[::-1][: min(n, len(values))]
-    return np.sqrt(np.maximum(values[order], 0.0)), _signed(vectors[:, order]), mean, n
+    """d and V of X = U d V' from the triangular factor, columns by falling d; the means; n."""
+    r, mean, n = triangular_factor(rows, vector, center)
+    if not r.size:
+        return np.zeros(0), np.zeros((len(mean), 0)), mean, n
+    d, v = np.linalg.svd(r)[1:]
+    return d[: min(n, len(mean))], _signed(v.T[:, : min(n, len(mean))]), mean, n
 
 
 def principal_components(rows: DataFrame, key: str, vector: str, k: int = 2, center: bool = True) -> DataFrame:
@@ -319,6 +366,14 @@ def r_matrix(rows: list[list[float]], row_names: list[str] | None = None, col_na
     return f"matrix( c({cells}), ncol={len(rows[0]) if rows else 0}, nrow={len(rows)}, byrow=TRUE)"
 
 
+def r_source(m: DataFrame) -> DataFrame:
+    """r: one row with a long matrix as R source, matrix() by rows; as long as the matrix (K5)."""
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "value")))
+    text = F.array_join(F.transform(cells, lambda c: c["value"].cast("string")), ", ")
+    one = m.agg(text.alias("cells"), F.count_distinct("j").alias("columns"), F.count_distinct("i").alias("rows"))
+    return one.select(F.concat(F.lit("matrix( c("), "cells", F.lit("), ncol="), F.col("columns").cast("string"), F.lit(", nrow="), F.col("rows").cast("string"), F.lit(", byrow=TRUE)")).alias("r"))
+
+
 def to_json(m: DataFrame) -> DataFrame:
     """One JSON document of values, rowNames and colNames (K9)."""
     rows = to_arrays(m).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda s: s["row"]).alias("values"))

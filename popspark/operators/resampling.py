@@ -1,12 +1,23 @@
 """Permutation and subsampling engines and their null distributions.
 
-Covers R2-R4, R8-R20, R26-R28, W1, E4, E40. Two forms: a declarative one whose
-order is an md5 rank, so any SQL engine draws the same samples, and an Arrow one
-for many iterations over one dense population, an iteration a row, in batches.
+Covers R2-R4, R8-R20, R26-R28, W1, E4, E40. Samples are drawn in md5 order, so any
+SQL engine draws the same ones.
+
+A subsample is what lies under an iteration's threshold: the k-th smallest draw. Of n
+draws that are as good as uniform, it lies within a few standard deviations of k / n.
+So one pass over the population counts, for all iterations at once, the rows that are
+surely drawn (in arrays with a cell an iteration), and hands on the few whose draws lie
+in that bracket. Only these are ranked. Counts prove the bracket right; an iteration
+where it missed is done again with a wider one, so results are exact. Nothing sorts or
+multiplies the population.
+
+A shuffle needs every rank. Draws are dealt to bins of about BIN_ROWS by their first
+digits; a rank is the sum of the bins before and a place in the bin.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,9 +27,26 @@ from pyspark.sql import functions as F
 
 from popspark.functions.vectors import divide, nan
 
+from .stages import numbered, saved
+
+try:
+    from _md5 import md5  # the interpreter's own is quicker for short keys
+except ImportError:
+    from hashlib import md5
+
 DIRECTIONS = ("greater", "less", "two-sided")
 #: An engine's population goes to every task: this many numbers (256 MB) at most.
 MOST_POPULATION = 32_000_000
+#: Standard deviations on either side of k / n that a threshold is looked for in at first.
+SPREAD = 6.0
+#: A draw as a number has so many bits of the md5's first; thresholds are compared on them.
+DRAW_BITS = 60
+#: Rows of a bin of draws that one task ranks, about.
+BIN_ROWS = 4096
+#: Units whose draws are worked out at a time, rows counted at a time, and arrays that a task gathers before it hands them on.
+BLOCK_UNITS, BLOCK_ROWS, MOST_ARRAYS = 128, 2048, 20_000
+#: Draws of a task, about, and tasks at most.
+TASK_DRAWS, MOST_TASKS = 50_000_000, 20_000
 
 
 def p_value(values: DataFrame, observed: Column | float, value: str = "value", direction: str = "greater") -> DataFrame:
@@ -51,20 +79,185 @@ def _order(seed: str, unit: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.col("iter").cast("string"), F.col(unit).cast("string")))
 
 
+def _brackets(population: DataFrame, by: tuple[str, ...], size: int, spread: float) -> DataFrame:
+    """A row for each group: _want (rows to draw), _low and _high, between which its thresholds lie, as draws of DRAW_BITS bits."""
+    n, k, whole = F.col("_n"), F.col("_want"), 2.0**DRAW_BITS
+    slack = spread * F.sqrt(k.cast("double")) + spread
+    bound = lambda x: F.when(k < n, F.floor(F.least(F.greatest(x / n, F.lit(0.0)), F.lit(1.0)) * whole).cast("long")).otherwise(F.lit(1 << DRAW_BITS))
+    groups = population.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_want", F.least(F.lit(size).cast("long"), F.col("_n")))
+    return saved(groups.withColumns({"_low": bound(k - slack), "_high": bound(k + slack)}).drop("_n"), "brackets")
+
+
+def _sized(population: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """population with its group's columns; without groups there is one row of them."""
+    return _beside(population, groups, list(by), "inner") if by else population.crossJoin(F.broadcast(groups))
+
+
 def subsamples(population: DataFrame, unit: str, size: int, iterations: int, seed: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """iter and the rows of each subsample without replacement: the first `size` in the iteration's md5 order, within each group of the columns `by`."""
-    rows = population.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    rank = F.row_number().over(Window.partitionBy(*by, "iter").orderBy(_order(seed, unit), unit))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
+    """iter and the rows of each subsample without replacement: the first `size` in the iteration's md5 order, within each group of the columns `by`.
+
+    All rows of a smaller group. Only rows under the bracket's upper end are kept and ranked.
+    """
+    spread = SPREAD
+    while True:
+        rows = _sized(population, _brackets(population, by, size, spread), by).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+        drawn = F.conv(F.substring("_draw", 1, DRAW_BITS // 4), 16, 10).cast("long")
+        near = saved(rows.withColumn("_draw", _order(seed, unit)).where(drawn < F.col("_high")).drop("_low", "_high"), "near-draws")
+        short = near.groupBy(*by, "iter").agg(F.count("*").alias("n"), F.first("_want").alias("want"))
+        # A group and iteration without any row is short too.
+        found = short.agg(F.count("*").alias("groups"), F.count_if(F.col("n") < F.col("want")).alias("short")).first()
+        groups = population.select(*by).distinct().count() if by else population.limit(1).count()
+        if found.short == 0 and found.groups == groups * iterations:
+            break
+        spread *= 4
+    rank = F.row_number().over(Window.partitionBy(*by, "iter").orderBy("_draw", unit))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank", "_draw", "_want")
+
+
+def _draws(units: list[str | None], seed: str, iterations: int) -> tuple[bytes, np.ndarray]:
+    """The md5 of every unit and iteration in a row, and their first DRAW_BITS bits [unit, iteration]."""
+    starts = [f"{seed}|{i}|".encode() for i in range(iterations)]
+    digests = b"".join([md5(p + u).digest() if u is not None else md5(p[:-1]).digest() for u in (x if x is None else x.encode() for x in units) for p in starts])
+    high = np.frombuffer(digests, ">u8").reshape(len(units), iterations, 2)[:, :, 0] >> np.uint64(64 - DRAW_BITS)
+    return digests, high.astype(np.int64)
+
+
+def _codes(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """A number for each row, equal for rows that agree in all columns."""
+    code = np.zeros(table.num_rows, np.int64)
+    for c in columns:
+        d = table.column(c).combine_chunks().dictionary_encode()
+        d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+        own = d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.unique(code * (len(d.dictionary) + 1) + own, return_inverse=True)[1]
+    return code
+
+
+def _count_draws(rows: DataFrame, seed: str, iterations: int, by: list[str], of: list[str]) -> DataFrame:
+    """by, of, counts (of the surely drawn, an element an iteration); or by, of, _unit, iter and _draw of a row within the bracket."""
+    keys = [*by, *of]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kinds: dict[str, pa.DataType] = {}
+        known: tuple[list, bytes, np.ndarray] = ([], b"", np.zeros((0, iterations), np.int64))
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            items = list(sums.items())
+            sums.clear()
+            for i in range(0, len(items), 500):
+                some = items[i : i + 500]
+                cells = [pa.array([k[j] for k, _ in some], kinds[c]) for j, c in enumerate(keys)]
+                arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * iterations, pa.int32()), pa.array(np.concatenate([a for _, a in some])))
+                empty = [pa.nulls(len(some), k) for k in (pa.string(), pa.int32(), pa.string())]
+                yield pa.RecordBatch.from_arrays([*cells, arrays, *empty], names=[*keys, "counts", "_unit", "iter", "_draw"])
 
-def relabelled(population: DataFrame, unit: str, label: str, iterations: int, seed: str) -> DataFrame:
-    """iter, unit and a label shuffled within the iteration (R8, R11): the k-th unit in md5 order gets the k-th unit's label."""
-    rows = population.select(unit, label).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    to = F.row_number().over(Window.partitionBy("iter").orderBy(unit))
-    by = F.row_number().over(Window.partitionBy("iter").orderBy(_order(seed, unit), unit))
-    given = rows.select("iter", F.col(label).alias("given"), by.alias("k"))
-    return rows.select("iter", unit, to.alias("k")).join(given, ["iter", "k"]).select("iter", unit, F.col("given").alias(label))
+        for batch in batches:
+            kinds.update({c: batch.schema.field(c).type for c in keys})
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = pa.Table.from_batches([batch.slice(start, BLOCK_ROWS)])
+                names = part.column("_unit").to_pylist()
+                low, high = (part.column(c).to_numpy() for c in ("_low", "_high"))
+                code = _codes(part, keys)
+                ends = np.append(np.flatnonzero([a != b for a, b in zip(names[1:], names[:-1], strict=True)]) + 1, len(names))
+                firsts = np.append(0, ends[:-1])
+                for i in range(0, len(firsts), BLOCK_UNITS):
+                    a, z = firsts[i], ends[min(i + BLOCK_UNITS, len(firsts)) - 1]
+                    units = [names[x] for x in firsts[i : i + BLOCK_UNITS]]
+                    if units != known[0]:
+                        known = (units, *_draws(units, seed, iterations))
+                    digests, draws = known[1:]
+                    owner = np.repeat(np.arange(len(units)), np.diff(np.append(firsts[i : i + BLOCK_UNITS], z)))
+                    # All rows of the block at once, equal combinations one after the other.
+                    order = np.argsort(code[a:z], kind="stable")
+                    sorted_code = code[a:z][order]
+                    starts = np.append(0, np.flatnonzero(sorted_code[1:] != sorted_code[:-1]) + 1)
+                    mine = draws[owner[order]]
+                    sure = mine < low[a:z][order, None]
+                    for at, add in zip((a + order[starts]).tolist(), np.add.reduceat(sure, starts, axis=0, dtype=np.int64), strict=True):
+                        key = tuple(part.column(k)[at].as_py() for k in keys)
+                        if key in sums:
+                            sums[key] += add
+                        else:
+                            sums[key] = add
+                    r, t = np.nonzero(~sure & (mine < high[a:z][order, None]))
+                    r = a + order[r]
+                    if len(r):
+                        spots = (owner[r - a] * iterations + t) * 16
+                        texts = pa.array([digests[x : x + 16].hex() for x in spots.tolist()], pa.string())
+                        taken = part.take(pa.array(r)).combine_chunks()
+                        columns = [taken.column(k).combine_chunks() for k in keys]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(r), pa.list_(pa.int64())), taken.column("_unit").combine_chunks(), pa.array(t, pa.int32()), texts], names=[*keys, "counts", "_unit", "iter", "_draw"])
+                if len(sums) > MOST_ARRAYS:
+                    yield from counted()
+        yield from counted()
+
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    return rows.mapInArrow(run, f"{fields}, counts array<long>, _unit string, iter int, _draw string")
+
+
+def subsample_counts(population: DataFrame, unit: str, size: int, iterations: int, seed: str, of: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, iter, of, n: how many of the rows that `subsamples` draws hold each combination of the columns `of`."""
+    kind = population.schema[unit].dataType.simpleString()
+    slim, spread, found = saved(population.select(*by, *of, F.col(unit).alias("_id")), "population"), SPREAD, []
+    todo: DataFrame | None = None
+    # By the draws to be made, which cost more than the rows weigh.
+    parts = max(slim.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, slim.count() * iterations // TASK_DRAWS))
+    while True:
+        groups = _brackets(slim, by, size, spread)
+        rows = _sized(slim, groups, by)
+        # A unit's rows together, so that its draws are worked out once.
+        rows = rows.select(*by, *of, "_low", "_high", "_want", F.col("_id").cast("string").alias("_unit")).repartition(parts, "_unit").sortWithinPartitions("_unit")
+        drawn = saved(_count_draws(rows.drop("_want"), seed, iterations, list(by), list(of)), "draws")
+        sure = drawn.where("counts is not null").select(*by, *of, F.posexplode("counts").alias("iter", "n")).groupBy(*by, *of, "iter").agg(F.sum("n").alias("n")).where("n > 0")
+        near = drawn.where("counts is null").select(*by, *of, "iter", "_draw", F.col("_unit").cast(kind).alias("_unit"))
+        totals = sure.select(*by, "iter", F.col("n").alias("sure"), F.lit(0).alias("near")).unionByName(near.groupBy(*by, "iter").agg(F.count("*").alias("near")).select(*by, "iter", F.lit(0).alias("sure"), "near"))
+        totals = totals.groupBy(*by, "iter").agg(F.sum("sure").alias("sure"), F.sum("near").alias("near"))
+        every = groups.select(*by, F.col("_want").alias("want")).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+        totals = saved(_beside(every, totals, [*by, "iter"]).select(*by, "iter", "want", F.coalesce("sure", F.lit(0)).alias("sure"), F.coalesce("near", F.lit(0)).alias("near")), "totals")
+        right = (F.col("sure") <= F.col("want")) & (F.col("sure") + F.col("near") >= F.col("want"))
+        fine = totals.where(right).select(*by, "iter", (F.col("want") - F.col("sure")).alias("open"))
+        if todo is not None:
+            fine = _only(fine, todo, [*by, "iter"])
+        ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "iter").orderBy("_draw", "_unit")))
+        more = _beside(ranked, fine, [*by, "iter"], "inner").where(F.col("_rank") <= F.col("open")).groupBy(*by, *of, "iter").agg(F.count("*").alias("n"))
+        both = _only(sure, fine, [*by, "iter"]).unionByName(more.select(*sure.columns))
+        found.append(both.groupBy(*by, "iter", *of).agg(F.sum("n").alias("n")))
+        missed = totals.where(~right)
+        if missed.isEmpty():
+            break
+        todo, spread = missed.select(*by, "iter"), spread * 4
+        slim = _only(slim, missed.select(*by).distinct(), list(by)) if by else slim
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _beside(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """left joined with right's other columns; nulls in `on` are equal."""
+    held = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    return left.join(held, [left[c].eqNullSafe(held[f"_r_{c}"]) for c in on], how).drop(*[f"_r_{c}" for c in on])
+
+
+def _only(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    held = right.select(*[F.col(c).alias(f"_r_{c}") for c in on])
+    return left.join(held, [left[c].eqNullSafe(held[f"_r_{c}"]) for c in on], "left_semi")
+
+
+def relabelled(population: DataFrame, unit: str, label: str, iterations: int, seed: str, first: int = 0) -> DataFrame:
+    """iter (from `first` on), unit and a label shuffled within the iteration (R8, R11): the k-th unit gets the label of the k-th in md5 order."""
+    rows = numbered(population.select(unit, label), [unit], "_k")
+    held = saved(rows, "labels")
+    bins = 1 << max(0, math.ceil(math.log2(max(1, held.count()) / BIN_ROWS)))
+    drawn = held.select(unit, F.col(label).alias("_label"), F.explode(F.sequence(F.lit(first), F.lit(first + iterations - 1))).alias("iter")).withColumn("_draw", _order(seed, unit))
+    # The first 32 bits of a draw, in equal parts.
+    drawn = drawn.withColumn("_bin", F.shiftright(F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long") * bins, 32).cast("int"))
+    before = Window.partitionBy("iter").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = drawn.groupBy("iter", "_bin").agg(F.count("*").alias("n")).select("iter", "_bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("iter", "_bin").orderBy("_draw", unit)) - 1
+    given = drawn.withColumn("_place", place).join(offsets, ["iter", "_bin"]).select("iter", (F.col("_base") + F.col("_place")).alias("_k"), "_label")
+    return given.join(held.select(F.col(unit), "_k"), "_k").select("iter", unit, F.col("_label").alias(label))
 
 
 def iterate(spark: SparkSession, iterations: int, seed: int, statistic: Callable[[np.random.Generator], float], per_task: int = 50) -> DataFrame:
@@ -129,13 +322,14 @@ def genotypic_rarefaction(genotypes: DataFrame, metric: str, size: int, iteratio
     """iter, value of a metric over subsampled genotypes (ind, a1, a2; 0 is absent) (R17); with `by`, for each of its groups that has more rows."""
     if metric not in ALLELIC + GENOTYPIC or size <= 0 or (not by and genotypes.count() <= size):
         return None
-    drawn = subsamples(_larger(genotypes, by, F.col("n") > size) if by else genotypes, "ind", size, iterations, seed, by)
+    drawn = subsample_counts(_larger(genotypes, by, F.col("n") > size) if by else genotypes, "ind", size, iterations, seed, ("a1", "a2"), by)
     key = [*by, "iter"]
-    alleles = drawn.select(*key, F.explode(F.array("a1", "a2")).alias("a")).where("a <> 0").groupBy(*key, "a").agg(F.count("*").alias("n"))
+    alleles = drawn.select(*key, "n", F.explode(F.array("a1", "a2")).alias("a")).where("a <> 0").groupBy(*key, "a").agg(F.sum("n").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(*key))
     found = alleles.withColumn("p", p).groupBy(*key).agg(F.count("*").cast("double").alias("A"), F.count_if(F.col("p") >= 0.05).cast("double").alias("A95"), F.sum(F.col("p") * F.col("p")).alias("s"))
+    whole = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
     both = (F.col("a1") != 0) & (F.col("a2") != 0)
-    het = drawn.groupBy(*key).agg(F.count_if((F.col("a1") != 0) | (F.col("a2") != 0)).alias("g"), F.count_if(both & (F.col("a1") != F.col("a2"))).alias("h"))
+    het = drawn.groupBy(*key).agg(whole((F.col("a1") != 0) | (F.col("a2") != 0)).alias("g"), whole(both & (F.col("a1") != F.col("a2"))).alias("h"))
     value = {"A": F.coalesce("A", F.lit(0.0)), "A95": F.coalesce("A95", F.lit(0.0)), "Ae": F.coalesce(1 / F.col("s"), F.lit(0.0)), "Ho": divide(F.col("h"), F.col("g")), "He": 1 - F.coalesce("s", F.lit(0.0))}[metric]
     return het.join(found, key, "left").select(*key, value.alias("value"))
 
@@ -147,8 +341,9 @@ def allelic_rarefaction(genotypes: DataFrame, metric: str, size: int, iterations
     enough = _larger(genotypes, by, (F.lit(size) < 2 * F.col("n")) & (F.lit(2 * size) <= F.col("alleles")))
     pool = enough.select(*by, "ind", F.posexplode(F.array("a1", "a2")).alias("side", "a")).where("a <> 0").select(*by, (F.col("ind") * 2 + F.col("side")).alias("unit"), "a")
     key = [*by, "iter"]
-    drawn = subsamples(pool, "unit", 2 * size, iterations, seed, by).groupBy(*key, "a").agg((F.count("*") / (2.0 * size)).alias("p"))
-    value = {"A": F.count("*").cast("double"), "A95": F.count_if(F.col("p") >= 0.05).cast("double"), "Ae": 1 / F.sum(F.col("p") * F.col("p"))}[metric]
+    drawn = subsample_counts(pool, "unit", 2 * size, iterations, seed, ("a",), by).withColumn("p", F.col("n") / (2.0 * size))
+    # Squares of counts are whole numbers: their sum does not depend on its order.
+    value = {"A": F.count("*").cast("double"), "A95": F.count_if(F.col("p") >= 0.05).cast("double"), "Ae": F.lit(4.0 * size * size) / F.sum(F.col("n") * F.col("n"))}[metric]
     return drawn.groupBy(*key).agg(value.alias("value"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from popspark.functions.text import natural_key
 from popspark.functions.vectors import hashed_unit
 
+from .stages import numbered
+
 
 def mate(m1: Column, m2: Column, f1: Column, f2: Column, maternal: Column, paternal: Column) -> Column:
     """left, right and their lineage codes of one offspring, alleles in lexicographic order.
@@ -92,9 +94,7 @@ def random_crosses(parents: DataFrame, count: int, seed: str) -> DataFrame:
     spark = parents.sparkSession
     if not n or count <= 0:
         return spark.createDataFrame([], f"child string, mother {parents.schema['ind'].dataType.simpleString()}, father {parents.schema['ind'].dataType.simpleString()}")
-    # An index over the parents by ranges of their order; parents are far fewer than genotypes.
-    order = Window.partitionBy(F.lit(0)).orderBy("ind")
-    ranked = parents.select("ind", (F.row_number().over(order) - 1).cast("long").alias("k"))
+    ranked = numbered(parents.select("ind"), ["ind"], "k")
     pick = lambda side: F.floor(hashed_unit(seed, side, F.col("id")) * n)
     kids = spark.range(count).select(F.concat(F.lit("offspring-"), F.col("id").cast("string")).alias("child"), pick("m").alias("mk"), pick("f").alias("fk"))
     a, b = ranked.select(F.col("ind").alias("mother"), F.col("k").alias("mk")), ranked.select(F.col("ind").alias("father"), F.col("k").alias("fk"))

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from popspark.functions.text import DATE_PARTS
 from popspark.functions.vectors import nan
 
+from .quantiles import quantiles
+
 ROLES = ("x", "y", "series", "label")
 
 
@@ -173,7 +175,8 @@ def frequency(df: DataFrame, column: str, low: int, high: int) -> DataFrame:
 def seven_numbers(df: DataFrame, column: str) -> DataFrame:
     """statistic, value in the order Count, Min, Q1, Median, Mean, Q3, Max; quartiles interpolate."""
     c = F.col(column).cast("double")
-    one = df.where(c.isNotNull()).agg(F.count(c).cast("double").alias("a"), F.min(c).alias("b"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(c).alias("m"), F.max(c).alias("z"))
+    one = df.where(c.isNotNull()).agg(F.count(c).cast("double").alias("a"), F.min(c).alias("b"), F.avg(c).alias("m"), F.max(c).alias("z"))
+    one = one.join(F.broadcast(quantiles(df, [], c, [0.25, 0.5, 0.75]).select("q")), F.lit(True), "left")  # one row each
     names = ["Count", "Min", "Q1", "Median", "Mean", "Q3", "Max"]
     values = ["a", "b", "q[0]", "q[1]", "m", "q[2]", "z"]
     pairs = ", ".join(f"{i}, '{n}', {v}" for i, (n, v) in enumerate(zip(names, values, strict=True)))
@@ -189,7 +192,9 @@ def collapsed(df: DataFrame, ts: str, y: str, part: str) -> DataFrame:
 def box_summary(df: DataFrame, category: str, y: str) -> DataFrame:
     """category, median and sample sd of its finite values."""
     v = F.col(y).cast("double")
-    return df.where(F.col(category).isNotNull() & finite(v)).groupBy(F.col(category).alias("category")).agg(F.median(v).alias("median"), F.coalesce(F.stddev_samp(v), nan()).alias("sd"))
+    rows = df.where(F.col(category).isNotNull() & finite(v)).select(F.col(category).alias("category"), v.alias("y"))
+    medians = quantiles(rows, ["category"], "y", [0.5]).select("category", F.get("q", F.lit(0)).alias("median"))
+    return medians.join(rows.groupBy("category").agg(F.coalesce(F.stddev_samp("y"), nan()).alias("sd")), "category")
 
 
 def box_plot(df: DataFrame, category: str, y: str) -> DataFrame:

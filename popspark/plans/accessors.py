@@ -7,14 +7,14 @@ import datetime
 from pyspark.sql import functions as F
 
 from popspark.functions import spatial, vectors
-from popspark.operators import distance, frequencies, graphs, layout, matrices, outcrossing, parentage, resampling, simulation, statistics, tables
+from popspark.operators import distance, frequencies, graphs, layout, matrices, outcrossing, parentage, resampling, simulation, stages, statistics, tables
 from popspark.sources import exporters, store
 
 from . import domain
 from .domain import table
 from .imports import _place
 from .lookups import _staged
-from .queries import FREQS, GAMETE, LAYOUT, LONG, VEC, _labelled, _laid_out, _likelihood_rows, _long, _pollen, query, rounded
+from .queries import FREQS, GAMETE, LAYOUT, LIKELIHOOD, LONG, VEC, _labelled, _laid_out, _likelihood_rows, _long, _pollen, query, rounded
 
 # Tables and matrices.
 
@@ -177,18 +177,22 @@ def pollen_pool_by_family(spark, d):
 # Likelihoods and posteriors.
 
 
-@query()
+@query(
+    f"""WITH {LIKELIHOOD}, o AS (SELECT family, offspring, 0.4 * product(selfed) + 0.6 * product(crossed) AS p FROM pr GROUP BY ALL), kin AS (SELECT family, sum(CASE WHEN p > 0 THEN ln(p) ELSE '-inf'::DOUBLE END) AS v FROM o GROUP BY family),
+    h AS (SELECT e.family, CASE WHEN m1 = m2 THEN coalesce(p.p, 0) ** 2 * 0.25 + coalesce(p.p, 0) * 0.75 ELSE 2 * coalesce(p.p, 0) * coalesce(q.p, 0) * 0.25 END AS p FROM (SELECT DISTINCT family, locus, m1, m2 FROM x) e LEFT JOIN f p ON p.locus = e.locus AND p.allele = m1 LEFT JOIN f q ON q.locus = e.locus AND q.allele = m2), hers AS (SELECT family, sum(CASE WHEN p > 0 THEN ln(p) ELSE '-inf'::DOUBLE END) AS v FROM h GROUP BY family)
+    SELECT family, round(kin.v + hers.v, 6) AS loglik FROM kin JOIN hers USING (family)""", "g_msat", "fam", "kids", "g_fam",
+)
 def family_log_likelihoods(spark, d):
     rows = _likelihood_rows(spark, d)
     mother = outcrossing.mother_log_likelihood(rows.select("family", "locus", "m1", "m2", "freqs", F.lit(2).alias("history")).distinct())
-    return outcrossing.family_log_likelihood(mother, outcrossing.progeny_log_likelihood(rows, 0.6))
+    return rounded(outcrossing.family_log_likelihood(mother, outcrossing.progeny_log_likelihood(rows, 0.6)))
 
 
 @query()
 def posterior_summaries(spark, d):
     """Means, interval and histories of one short chain a locus."""
     fam, kids, g = domain.families(spark, d)
-    samples = graphs._saved(outcrossing.run_chains(g, fam, kids, outcrossing.Parameters(steps=20, burn_in=10, thinning=5), by_locus=True), "chains")
+    samples = stages.saved(outcrossing.run_chains(g, fam, kids, outcrossing.Parameters(steps=20, burn_in=10, thinning=5), by_locus=True), "chains")
     one = outcrossing.posterior_mean_t(samples).crossJoin(outcrossing.posterior_mean_f(samples)).crossJoin(outcrossing.credible_interval(samples))
     return outcrossing.posterior_histories(samples).crossJoin(one)
 
@@ -247,7 +251,7 @@ def layout_run(spark, d):
     """Three steps with edges fading in."""
     nodes, edges = _laid_out(spark, d)
     fading = layout.ramp_all(edges.withColumn("alpha", F.lit(0.0)), 1.0, 0.5)
-    out, temperature, settling = layout.run(nodes, fading, layout.Configuration(), 3, lambda df: graphs._saved(df, "layout"))
+    out, temperature, settling = layout.run(nodes, fading, layout.Configuration(), 3, lambda df: stages.saved(df, "layout"))
     return layout.kinetic_energy(out).withColumn("temperature", F.lit(temperature)).withColumn("progress", F.lit(settling.progress))
 
 

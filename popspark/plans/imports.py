@@ -13,22 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from popspark.functions import spatial, text, vectors
-from popspark.operators import distance, frequencies, graphs, layout, matrices, resampling, statistics, tables
+from popspark.operators import distance, frequencies, graphs, layout, matrices, resampling, stages, statistics, tables
 from popspark.sources import importers, store
 
 from . import domain
 from .domain import table
-from .queries import LAYOUT, LONG, VEC, _laid_out, _long, query, rounded
+from .queries import LAYOUT, LONG, MATERIALISED, PERMUTATIONS, VEC, _laid_out, _long, query, relabel, rounded
 
 
 def _place(spark: SparkSession) -> str:
-    graphs._saved(spark.range(0), "files")  # sets the shared folder in a local session
+    stages.saved(spark.range(0), "files")  # sets the shared folder in a local session
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def _file(lines: DataFrame, path: str) -> str:
-    """lines (at, line) as one text file in order."""
-    lines.coalesce(1).sortWithinPartitions("at").select("line").write.text(path)
+    """lines (at, line) in order, in as many files as there are ranges."""
+    lines.repartitionByRange("at").sortWithinPartitions("at").select("line").write.text(path)
     return path
 
 
@@ -79,7 +79,7 @@ EDGES_BOTH = "WITH e AS (SELECT a.n_name AS a, b.n_name AS b, weight, row_number
 @query(EDGES_BOTH, "edges")
 def import_graph_text(spark, d):
     nodes, edges = domain.trade(spark, d)
-    edges = graphs._saved(graphs.ends(edges, nodes), "trade")
+    edges = stages.saved(graphs.ends(edges, nodes), "trade")
     n, m = nodes.count(), edges.count()
     head = spark.createDataFrame([(-1, f"{n} {m}")], "at long, line string")
     lines = nodes.select(F.col("ordinal").cast("long").alias("at"), F.concat_ws(" ", "name", F.lit("1.0"), F.lit("g")).alias("line"))
@@ -212,9 +212,10 @@ def glm_permutation_null(spark, d):
     return resampling.glm_permutations(spark, p.column(0).to_numpy()[:, None], p.column(1).to_numpy(), 99, 7)[1]
 
 
-@query()
+@query(f"WITH {MATERIALISED}, {relabel('3', PERMUTATIONS)} SELECT iter, round(va / (va + vw), 6) AS value FROM v", "g_snp", "labels_of")
 def amova_permutation_test(spark, d):
-    return distance.permutation_test(distance.genetic_distance(domain.snp(spark, d)), domain.labels(spark, d), 99, 3)[1]
+    held = stages.saved(distance.genetic_distance(domain.snp(spark, d)), "distances")
+    return rounded(distance.permutation_test(held, domain.labels(spark, d), PERMUTATIONS, 3)[1])
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.functions import spatial, text, vectors
-from popspark.operators import distance, frequencies, graphs, layout, matrices, outcrossing, parentage, resampling, statistics
+from popspark.operators import distance, frequencies, graphs, layout, matrices, outcrossing, parentage, resampling, stages, statistics
 from popspark.sources import exporters, store
 from popspark.streaming import frequencies as streaming
 
@@ -64,11 +64,8 @@ def markers_for_matrix(spark, d):
 
 @query("SELECT DISTINCT locus::INTEGER AS locus_ord, dense_rank() OVER (ORDER BY (locus % 3) * 5, locus) AS rank FROM g_msat", "g_msat")
 def loci_in_order(spark, d):
-    from pyspark.sql import Window
-
     loci = _staged(spark, d)["loci"]
-    order = Window.partitionBy(F.lit(0)).orderBy(text.natural_key(F.col("contig")), "contig", "location")
-    return loci.select("locus_ord", F.row_number().over(order).cast("long").alias("rank"))
+    return store.loci_ranked(loci).select("locus_ord", "rank")
 
 
 @query(
@@ -135,10 +132,7 @@ def triangle_dense(spark, d):
 
 @query(f"WITH {TRI}, x AS (SELECT i AS old, row_number() OVER (ORDER BY i DESC) - 1 AS pos FROM e) SELECT least(a.pos, b.pos) AS i, greatest(a.pos, b.pos) AS j, value FROM t JOIN x a ON a.old = t.i JOIN x b ON b.old = t.j")
 def triangle_gather(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("vec_id"))
-    index = table(spark, d, "embeddings").select((F.row_number().over(order) - 1).cast("long").alias("at"), F.col("vec_id").alias("i"))
+    index = stages.numbered(table(spark, d, "embeddings").select("vec_id"), [F.desc("vec_id")], "at").select("at", F.col("vec_id").alias("i"))
     return matrices.triangle_gather(_triangle(spark, d), index)
 
 
@@ -272,10 +266,10 @@ def streamed_allele_counts(spark, d):
     """The streaming counter, run over the events as one available-now stream into memory."""
     import uuid
 
-    from popspark.operators.graphs import _saved
+    from popspark.operators.stages import saved
 
     events = table(spark, d, "events").select("ts", (F.dayofweek("ts") - 1).alias("locus"), (F.col("user_id") % 5).cast("int").alias("a1"), (F.col("event_id") % 4).cast("int").alias("a2"), F.lit(1).alias("sign"))
-    held = _saved(events, "stream")
+    held = saved(events, "stream")
     path = held.inputFiles()[0].rsplit("/", 1)[0]
     name = f"counts_{uuid.uuid4().hex}"
     q = streaming.running_counts(spark.readStream.schema(held.schema).parquet(path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.functions import spatial, text, vectors
-from popspark.operators import distance, frequencies, graphs, layout, matrices, outcrossing, parentage, resampling, simulation, statistics, tables
+from popspark.operators import distance, frequencies, graphs, layout, matrices, outcrossing, parentage, resampling, simulation, stages, statistics, tables
 
 from . import domain
 from .domain import table, with_views
@@ -350,7 +350,7 @@ def gower_center(spark, d):
     return rounded(matrices.gower_centered(m))
 
 
-@query(f"WITH e AS ({VEC}), c AS (SELECT a.i, b.i AS j, list_inner_product(a.v, b.v) AS value FROM e a, e b), g AS (SELECT i, value AS w FROM c WHERE i = j) SELECT c.i, c.j, round(x.w + y.w - 2 * value, 6) + 0.0 AS value FROM c JOIN g x ON c.i = x.i JOIN g y ON c.j = y.i")
+@query(f"WITH e AS MATERIALIZED ({VEC}), c AS MATERIALIZED (SELECT a.i, b.i AS j, list_inner_product(a.v, b.v) AS value FROM e a, e b), g AS MATERIALIZED (SELECT i, value AS w FROM c WHERE i = j) SELECT c.i, c.j, round(x.w + y.w - 2 * value, 6) + 0.0 AS value FROM c JOIN g x ON c.i = x.i JOIN g y ON c.j = y.i")
 def dist_from_cov(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"))
     b = e.select(F.col("i").alias("j"), F.col("v").alias("w"))
@@ -377,6 +377,8 @@ def pca_scores(spark, d):
 
 LOCUS_D = """pairs AS (SELECT x.ind AS i, y.ind AS j, x.locus, (((x.a1 = 2)::INT + (x.a2 = 2)::INT) - ((y.a1 = 2)::INT + (y.a2 = 2)::INT)) ** 2 AS d FROM g_snp x JOIN g_snp y ON x.locus = y.locus AND x.ind < y.ind WHERE x.a1 <> 0 AND y.a1 <> 0),
 pd AS (SELECT a.ind AS i, b.ind AS j, coalesce(s, 0) AS s, coalesce(c, 0) AS c FROM labels_of a JOIN labels_of b ON a.ind < b.ind LEFT JOIN (SELECT i, j, sum(d) AS s, count(*) AS c FROM pairs GROUP BY ALL) t ON t.i = a.ind AND t.j = b.ind)"""
+#: The distances kept, for queries that read them an iteration.
+MATERIALISED = f"{LOCUS_D}, dist AS MATERIALIZED (SELECT i, j, CASE WHEN c > 0 THEN s / c * 64 ELSE 0 END AS d2 FROM pd)"
 RESCALED = f"{LOCUS_D}, dist AS (SELECT i, j, CASE WHEN c > 0 THEN s / c * 64 ELSE 0 END AS d2 FROM pd)"
 
 
@@ -431,44 +433,51 @@ def pairwise_join_phist_geo(spark, d):
     return out.select("GroupA", "GroupB", F.round("phi", 6).alias("phi"), F.round("km", 4).alias("km"))
 
 
-RELABEL = "u AS (SELECT iter::INTEGER AS iter, ind, stratum, row_number() OVER (PARTITION BY iter ORDER BY ind) AS k, row_number() OVER (PARTITION BY iter ORDER BY md5('amova|' || iter || '|' || ind), ind) AS m FROM labels_of, range(0, 9) r(iter)), p AS (SELECT a.iter, a.ind, b.stratum FROM u a JOIN u b ON a.iter = b.iter AND a.k = b.m)"
+def relabel(seed: str, iterations: int) -> str:
+    return f"""u AS (SELECT iter::INTEGER AS iter, ind, stratum, row_number() OVER (PARTITION BY iter ORDER BY ind) AS k, row_number() OVER (PARTITION BY iter ORDER BY md5('{seed}|' || iter || '|' || ind), ind) AS m FROM labels_of, range(0, {iterations}) r(iter)), p AS MATERIALIZED (SELECT a.iter, a.ind, b.stratum FROM u a JOIN u b ON a.iter = b.iter AND a.k = b.m),
+    ins AS (SELECT a.iter, a.stratum, sum(d2) AS s FROM dist JOIN p a ON a.ind = i JOIN p b ON b.ind = j AND a.iter = b.iter WHERE a.stratum = b.stratum GROUP BY ALL), z AS (SELECT iter, stratum, count(*) AS n FROM p GROUP BY ALL),
+    t AS (SELECT iter, sum(n)::BIGINT AS n, count(*) AS k, sum(n * n) AS nn, sum(coalesce(s, 0) / n) AS ssw, (SELECT sum(d2) FROM dist) AS al FROM z LEFT JOIN ins USING (iter, stratum) GROUP BY iter), v AS (SELECT iter, ssw / (n - k) AS vw, ((al / n - ssw) / (k - 1) - ssw / (n - k)) / ((n - nn / n) / (k - 1)) AS va FROM t)"""
 
 
-@query(
-    f"""WITH {RESCALED}, {RELABEL}, ins AS (SELECT a.iter, a.stratum, sum(d2) AS s FROM dist JOIN p a ON a.ind = i JOIN p b ON b.ind = j AND a.iter = b.iter WHERE a.stratum = b.stratum GROUP BY ALL), z AS (SELECT iter, stratum, count(*) AS n FROM p GROUP BY ALL),
-    t AS (SELECT iter, sum(n)::BIGINT AS n, count(*) AS k, sum(n * n) AS nn, sum(coalesce(s, 0) / n) AS ssw, (SELECT sum(d2) FROM dist) AS al FROM z LEFT JOIN ins USING (iter, stratum) GROUP BY iter), v AS (SELECT iter, ssw / (n - k) AS vw, ((al / n - ssw) / (k - 1) - ssw / (n - k)) / ((n - nn / n) / (k - 1)) AS va FROM t) SELECT iter, round(va / (va + vw), 6) AS value FROM v""", "g_snp", "labels_of",
-)
+PERMUTATIONS = 999
+
+
+@query(f"WITH {MATERIALISED}, {relabel('amova', PERMUTATIONS)} SELECT iter, round(va / (va + vw), 6) AS value FROM v", "g_snp", "labels_of")
 def permutation_amova_null(spark, d):
     strata = domain.labels(spark, d)
-    null = resampling.relabelled(strata, "ind", "stratum", 9, "amova")
-    return rounded(distance.permuted_phi(distance.genetic_distance(domain.snp(spark, d)), null))
+    null = stages.saved(resampling.relabelled(strata, "ind", "stratum", PERMUTATIONS, "amova"), "relabelled")
+    return rounded(distance.permuted_phi(stages.saved(distance.genetic_distance(domain.snp(spark, d)), "distances"), null))
 
 
-DRAWS = "r AS (SELECT locus, iter::INTEGER AS iter, ind, a1, a2 FROM (SELECT *, count(*) OVER (PARTITION BY locus) AS n FROM g_msat), range(0, 20) t(iter) WHERE n > 50 QUALIFY row_number() OVER (PARTITION BY locus, iter ORDER BY md5('rare|' || iter || '|' || ind), ind) <= 50)"
+#: Draws of the default workload.
+ITERATIONS = 999
+# The 50 (or 100) smallest of each iteration by a heap: as a window this is a sort of the population an iteration.
+DRAWS = f"""dr AS MATERIALIZED (SELECT ind, iter::INTEGER AS iter, md5('rare|' || iter || '|' || ind) AS h FROM (SELECT DISTINCT ind FROM g_msat), range(0, {ITERATIONS}) t(iter)), big AS (SELECT locus FROM g_msat GROUP BY locus HAVING count(*) > 50),
+r AS (SELECT locus, iter, g.a1, g.a2 FROM (SELECT locus, iter, unnest(arg_min({{'a1': a1, 'a2': a2}}, h, 50)) AS g FROM g_msat JOIN big USING (locus) JOIN dr USING (ind) GROUP BY locus, iter))"""
 
 
 @query(f"WITH {DRAWS} SELECT locus, iter, count(DISTINCT a)::DOUBLE AS value FROM (SELECT locus, iter, unnest([a1, a2]) AS a FROM r) WHERE a <> 0 GROUP BY ALL", "g_msat")
 def rarefaction_genotypic_A(spark, d):
-    return resampling.genotypic_rarefaction(domain.msat(spark, d), "A", 50, 20, "rare", ("locus",))
+    return resampling.genotypic_rarefaction(domain.msat(spark, d), "A", 50, ITERATIONS, "rare", ("locus",))
 
 
 @query(f"WITH {DRAWS} SELECT locus, iter, round(count(*) FILTER (a1 <> 0 AND a2 <> 0 AND a1 <> a2) / count(*) FILTER (a1 <> 0 OR a2 <> 0), 6) AS value FROM r GROUP BY locus, iter", "g_msat")
 def rarefaction_Ho(spark, d):
-    return rounded(resampling.rarefaction(domain.msat(spark, d), "Ho", 50, 20, "rare", ("locus",)))
+    return rounded(resampling.rarefaction(domain.msat(spark, d), "Ho", 50, ITERATIONS, "rare", ("locus",)))
 
 
 @query(
-    "WITH pool AS (SELECT locus, ind * 2 + side AS unit, a, count(*) OVER (PARTITION BY locus) AS n FROM (SELECT locus, ind, unnest([0, 1]) AS side, unnest([a1, a2]) AS a FROM g_msat) WHERE a <> 0), r AS (SELECT locus, iter::INTEGER AS iter, a FROM pool, range(0, 20) t(iter) WHERE n >= 100 QUALIFY row_number() OVER (PARTITION BY locus, iter ORDER BY md5('rare|' || iter || '|' || unit), unit) <= 100), c AS (SELECT locus, iter, a, count(*) / 100.0::DOUBLE AS p FROM r GROUP BY ALL) SELECT locus, iter, round(1 / sum(p * p), 6) AS value FROM c GROUP BY ALL", "g_msat",
+    f"WITH pool AS MATERIALIZED (SELECT locus, ind * 2 + side AS unit, a FROM (SELECT locus, ind, unnest([0, 1]) AS side, unnest([a1, a2]) AS a FROM g_msat) WHERE a <> 0), big AS (SELECT locus FROM pool GROUP BY locus HAVING count(*) >= 100), dr AS MATERIALIZED (SELECT unit, iter::INTEGER AS iter, md5('rare|' || iter || '|' || unit) AS h FROM (SELECT DISTINCT unit FROM pool), range(0, {ITERATIONS}) t(iter)), r AS (SELECT locus, iter, unnest(arg_min(a, h, 100)) AS a FROM pool JOIN big USING (locus) JOIN dr USING (unit) GROUP BY locus, iter), c AS (SELECT locus, iter, a, count(*) AS n FROM r GROUP BY ALL) SELECT locus, iter, round(10000.0::DOUBLE / sum(n * n), 6) AS value FROM c GROUP BY ALL", "g_msat",
 )
 def rarefaction_allelic_Ae(spark, d):
-    return rounded(resampling.allelic_rarefaction(domain.msat(spark, d), "Ae", 50, 20, "rare", ("locus",)))
+    return rounded(resampling.allelic_rarefaction(domain.msat(spark, d), "Ae", 50, ITERATIONS, "rare", ("locus",)))
 
 
 @query(
     f"WITH {DRAWS}, v AS (SELECT locus, iter, count(*) FILTER (a1 <> 0 AND a2 <> 0 AND a1 <> a2) / count(*) FILTER (a1 <> 0 OR a2 <> 0) AS value FROM r GROUP BY locus, iter) SELECT round((count(*) FILTER (value >= 0.7) + 1) / (count(*) + 1), 6) AS greater, round((count(*) FILTER (value <= 0.7) + 1) / (count(*) + 1), 6) AS less FROM v", "g_msat",
 )
 def null_p_values(spark, d):
-    null = resampling.rarefaction(domain.msat(spark, d), "Ho", 50, 20, "rare", ("locus",))
+    null = stages.saved(resampling.rarefaction(domain.msat(spark, d), "Ho", 50, ITERATIONS, "rare", ("locus",)), "null")
     one = lambda direction: resampling.p_value(null, 0.7, direction=direction).withColumnRenamed("p_value", direction)
     return rounded(one("greater").crossJoin(one("less")))
 
@@ -599,12 +608,23 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return domain.msat(spark, d).select("ind", "locus", label("a1").alias("left"), label("a2").alias("right"))
 
 
-@query()
+def _unit(parts: str) -> str:
+    return f"(('0x' || substr(md5({parts}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query(
+    f"""WITH l AS (SELECT ind, locus, CASE a1 WHEN 0 THEN '' ELSE a1::VARCHAR END AS l, CASE a2 WHEN 0 THEN '' ELSE a2::VARCHAR END AS r FROM g_msat), pa AS (SELECT o_orderkey AS ind, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders), c AS (SELECT 'offspring-' || i AS child, floor({_unit("'mates|m|' || i")} * n)::BIGINT AS mk, floor({_unit("'mates|f|' || i")} * n)::BIGINT AS fk FROM range(500) t(i), (SELECT count(*) AS n FROM orders)),
+    b AS (SELECT child, m.locus, CASE WHEN {_unit("'mates|m|' || child || '|' || m.locus")} < 0.5 THEN m.l ELSE m.r END AS ma, CASE WHEN {_unit("'mates|f|' || child || '|' || m.locus")} < 0.5 THEN f.l ELSE f.r END AS fa FROM c JOIN pa x ON x.k = mk JOIN pa y ON y.k = fk JOIN l m ON m.ind = x.ind JOIN l f ON f.ind = y.ind AND f.locus = m.locus)
+    SELECT child AS ind, locus, least(ma, fa) AS "left", greatest(ma, fa) AS "right", CASE WHEN ma <= fa THEN -1 ELSE 1 END AS left_lineage, CASE WHEN ma <= fa THEN 1 ELSE -1 END AS right_lineage FROM b""", "g_msat",
+)
 def random_mate(spark, d):
     return simulation.random_mate(_labelled(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("ind")), 500, "mates")
 
 
-@query()
+@query(
+    """WITH p0 AS (SELECT id AS ind, stratum AS population FROM points), a AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY md5('moved|NATION_1|' || ind), ind) AS k, floor(0.25 * count(*) OVER (PARTITION BY population) + 0.5) AS q FROM p0), p1 AS (SELECT ind, CASE WHEN population = 'NATION_1' AND k <= q THEN 'NATION_2' WHEN population = 'NATION_1' AND k <= 2 * q THEN 'NATION_3' ELSE population END AS population FROM a),
+    b AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY md5('moved|NATION_2|' || ind), ind) AS k, floor(0.1 * count(*) OVER (PARTITION BY population) + 0.5) AS q FROM p1) SELECT ind, CASE WHEN population = 'NATION_2' AND k <= q THEN 'NATION_1' ELSE population END AS population FROM b""", "points",
+)
 def apply_migration(spark, d):
     people = domain.points(spark, d).select(F.col("id").alias("ind"), F.col("stratum").alias("population"))
     return simulation.apply_migration(people, [("NATION_1", "NATION_1", 0.5), ("NATION_1", "NATION_2", 0.25), ("NATION_1", "NATION_3", 0.25), ("NATION_2", "NATION_2", 0.9), ("NATION_2", "NATION_1", 0.1)], "moved")
@@ -639,13 +659,13 @@ APSP = "bf(src, dst, dist, h) AS (SELECT n_nationkey, n_nationkey, 0.0::DOUBLE,
 @query(f"WITH {APSP} SELECT src, dst, round(dist, 6) AS distance FROM sp", "edges", recursive=True)
 def shortest_paths(spark, d):
     nodes, edges = domain.trade(spark, d)
-    return rounded(graphs.shortest_paths(nodes, edges).select("src", "dst", "distance"))
+    return rounded(graphs.path_forest(nodes, edges).select("src", "dst", "distance"))
 
 
 @query(f"WITH {APSP} SELECT n_nationkey AS id, round(coalesce(c, 0), 6) AS closeness FROM nation LEFT JOIN (SELECT src, count(*) / sum(dist) AS c FROM sp WHERE src <> dst GROUP BY src) ON src = n_nationkey", "edges", recursive=True)
 def closeness(spark, d):
     nodes, edges = domain.trade(spark, d)
-    return rounded(graphs.closeness(nodes, graphs.shortest_paths(nodes, edges)))
+    return rounded(graphs.closeness(nodes, graphs.path_forest(nodes, edges)))
 
 
 @query(
@@ -653,12 +673,14 @@ def closeness(spark, d):
 )
 def betweenness(spark, d):
     nodes, edges = domain.trade(spark, d)
-    return rounded(graphs.betweenness(nodes, graphs.shortest_paths(nodes, edges)))
+    return rounded(graphs.betweenness(nodes, graphs.path_forest(nodes, edges)))
 
 
-@query()
+@query(
+    "WITH pw(id, v, h) AS (SELECT n_nationkey, 0.2::DOUBLE, 0 FROM nation UNION ALL SELECT id, s / sqrt(sum(s * s) OVER ()), h + 1 FROM (SELECT id, h, sum(s) AS s FROM (SELECT e.src AS id, h, weight * v AS s FROM edges e JOIN pw ON pw.id = e.dst WHERE h < 400 UNION ALL SELECT id, h, v FROM pw WHERE h < 400) GROUP BY id, h)) SELECT id, round(v, 6) AS value FROM pw WHERE h = 400", "edges", recursive=True,
+)
 def eigenvector_centrality(spark, d):
-    return graphs.eigenvector(*domain.trade(spark, d))
+    return rounded(graphs.eigenvector(*domain.trade(spark, d), tolerance=1e-13))
 
 
 def _laid_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -706,7 +728,12 @@ def map_region(spark, d):
     return rounded(spatial.region(domain.points(spark, d)))
 
 
-@query()
+HULL = """pt AS MATERIALIZED (SELECT DISTINCT stratum, longitude AS x, latitude AS y FROM points), st AS (SELECT stratum, x, y FROM pt QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY x, y DESC) = 1),
+hull(stratum, corner, x, y, sx, sy) AS (SELECT stratum, 0, x, y, x, y FROM st UNION ALL SELECT stratum, corner + 1, nx.x, nx.y, sx, sy FROM (SELECT stratum, corner, sx, sy, arg_max({'x': cx, 'y': cy}, far) AS nx FROM (SELECT h.stratum, h.corner, h.sx, h.sy, c.x AS cx, c.y AS cy, (c.x - h.x) ** 2 + (c.y - h.y) ** 2 AS far, min((c.x - h.x) * (o.y - h.y) - (c.y - h.y) * (o.x - h.x)) AS least FROM hull h JOIN pt c ON c.stratum = h.stratum AND NOT (c.x = h.x AND c.y = h.y) JOIN pt o ON o.stratum = h.stratum WHERE h.corner < 200 GROUP BY ALL) WHERE least >= -1e-10 GROUP BY ALL) WHERE NOT (nx.x = sx AND nx.y = sy)),
+ring AS (SELECT stratum, corner, x AS longitude, y AS latitude, count(*) OVER (PARTITION BY stratum) AS n FROM hull QUALIFY n > 2)"""
+
+
+@query(f"WITH {HULL} SELECT stratum, corner::INTEGER AS corner, longitude, latitude FROM ring", "points", recursive=True)
 def convex_hull(spark, d):
     return spatial.convex_hull(domain.points(spark, d), "stratum")
 

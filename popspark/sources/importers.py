@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popspark.operators.frequencies import codebook, encode
+from popspark.operators.stages import numbered, saved
 
 
 class DataError(ValueError):
@@ -91,13 +92,25 @@ class Dataset:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1) and text of one file.
+    """line (from 1) and text of a text file, or of a folder's files in order of their names.
 
-    A text file's order is its bytes' order: lines are numbered in the task that
-    reads them, which for these hand-made formats is one.
+    Files are read in splits. A line's number is its place in its split after the
+    lines of all splits before, which are counted by split; a row a split is all that
+    one task sees of the whole. Lines end at newlines; a carriage return before one is
+    no part of the text, and a newline at the very end is followed by one empty line.
     """
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split("value", "\n")).alias("at", "text")).select((F.col("at") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
+    meta = F.col("_metadata")
+    read = spark.read.text(path, lineSep="\n").select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("at"), meta["file_size"].alias("size"))
+    # Rows of a split are numbered in the order in which its task reads them, in the pass that is written.
+    rows = saved(read.withColumn("row", F.monotonically_increasing_id()), "lines")
+    splits = rows.groupBy("file", "at", "size").agg(F.min("row").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    before = Window.partitionBy(F.lit(0)).orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = saved(splits.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "splits")
+    lines = rows.join(offsets.select("file", "at", "first", "base"), ["file", "at"]).select((F.col("base") + F.col("row") - F.col("first") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("text"))
+    # With the newlines between them, lines are one byte longer than a file that does not end in one (a byte order mark, three bytes, is no text).
+    last = offsets.groupBy("file", "size").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    ended = last.agg(F.max(F.struct("file", (F.col("size") - F.col("bytes")).isin(0, 3).alias("closed"))).alias("m"), F.sum("n").alias("n")).where("m.closed")
+    return lines.unionByName(ended.select((F.col("n") + 1).alias("line"), F.lit("").alias("text")))
 
 
 def split_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -173,7 +186,7 @@ def import_family_table(spark: SparkSession, path: str, layout: FamilyLayout = F
     if double is not None:
         raise DuplicateMother(double.family)
     families = rows.groupBy("family").agg(F.min("ind").alias("first"), F.max(F.when(is_mother, F.col("ind"))).alias("mother"))
-    families = families.select("family", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first")) - 1).alias("family_order"), "mother")
+    families = numbered(families, ["first"], "family_order").select("family", F.col("family_order").cast("int").alias("family_order"), "mother")
     offspring = rows.where(~is_mother).select("family", F.col("ind").alias("offspring"), (F.row_number().over(Window.partitionBy("family").orderBy("ind")) - 1).alias("place"))
     individuals = rows.select("ind", F.concat_ws("-", "family", "kid").alias("name"), *_coordinates(layout.latitude, layout.longitude))
     return _assemble(_cells(rows, loci, layout.separator), individuals, families=families, offspring=offspring)
@@ -215,8 +228,8 @@ def import_graph_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     if len(head.p) != 2 or not all(x.isdigit() for x in head.p):
         raise GraphFormatError("the header must be two counts", head.line)
     n, m = map(int, head.p)
-    # Place among the lines with content; the format is read in one piece.
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line")) - 2).where("k >= 0")
+    # Place among the lines with content.
+    ranked = numbered(rows, ["line"], "k", -1).where("k >= 0")
     have = ranked.count()
     if have < n + m:
         raise GraphFormatError(f"{n} nodes and {m} edges promised, {have} lines found")
@@ -262,8 +275,8 @@ def import_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     rest = F.map_filter("properties", lambda k, v: ~k.isin("name", "size", "color", "marker-color") & v.isNotNull())
     numeric = lambda v: v.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$")
     # Numbers given as JSON strings can't be told from numbers once in a map of text; both are continuous here.
-    nodes = points.select(
-        F.col("properties.name").alias("id"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")) - 1).alias("ordinal"),
+    nodes = numbered(points, ["at"], "ordinal").select(
+        F.col("properties.name").alias("id"), F.col("ordinal").cast("int").alias("ordinal"),
         F.coalesce(F.expr("try_cast(properties['size'] as double)"), F.lit(1.0)).alias("size"), F.col("properties.color").alias("color"),
         F.col("c")[0].alias("longitude"), F.col("c")[1].alias("latitude"),
         F.map_filter(rest, lambda k, v: ~numeric(v)).alias("categorical"), F.transform_values(F.map_filter(rest, lambda k, v: numeric(v)), lambda k, v: v.cast("double")).alias("continuous"),
@@ -271,7 +284,7 @@ def import_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     lines = f.where("type = 'LineString'").withColumn("c", F.from_json("coordinates", "array<array<double>>"))
     if lines.where(F.size("c") != 2).limit(1).count():
         raise GraphFormatError("a line must have two points")
-    lines = lines.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")) - 1).alias("e"), *[F.col("c")[i][j].alias(n) for i, j, n in ((0, 0, "x1"), (0, 1, "y1"), (1, 0, "x2"), (1, 1, "y2"))], F.coalesce(F.expr("try_cast(properties['weight'] as double)"), F.lit(1.0)).alias("w"))
+    lines = numbered(lines, ["at"], "e").select("e", *[F.col("c")[i][j].alias(n) for i, j, n in ((0, 0, "x1"), (0, 1, "y1"), (1, 0, "x2"), (1, 1, "y2"))], F.coalesce(F.expr("try_cast(properties['weight'] as double)"), F.lit(1.0)).alias("w"))
     a = nodes.select(F.col("id").alias("a"), F.col("longitude").alias("x1"), F.col("latitude").alias("y1"))
     b = nodes.select(F.col("id").alias("b"), F.col("longitude").alias("x2"), F.col("latitude").alias("y2"))
     joined = lines.join(a, ["x1", "y1"], "left").join(b, ["x2", "y2"], "left")

@@ -1,20 +1,29 @@
 """A project store: a folder of component tables with a meta table.
 
-Every write of a component makes a new version folder and then replaces the small
-pointer file that names it, so readers see the old or the new version, never a
-part. Components: geneticData, graph, results, log, matrices.
+A component's state is the newest entry of its commit log: numbered files, each put in
+place only if its number is free, that list the folders of which each table is the
+union. A writer first writes its rows to new folders, then tries to commit the next
+number; if another has taken it, it starts again from that one's state, so no writer's
+rows are lost. Appended rows are small folders of their own, which a commit merges once
+there are many. A crash leaves at most folders that no entry names. Old versions stay
+readable until `vacuum`. Components: geneticData, graph, results, log, matrices.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popspark.functions.text import natural_key
+from popspark.operators.stages import numbered
+
+from .files import file_system, put_if_absent, read_text
 
 # Components, their schema version and their tables.
 VERSION = 1
@@ -74,6 +83,14 @@ class InvalidValue(StoreError):
     pass
 
 
+class Conflict(StoreError):
+    """Another writer has taken the version."""
+
+
+#: Folders of a table that are merged into one, and attempts to commit.
+MOST_FOLDERS, ATTEMPTS = 16, 50
+
+
 @dataclass(frozen=True)
 class Summary:
     """What a store holds; null where the component is absent."""
@@ -95,9 +112,8 @@ class ProjectStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.fs, _ = file_system(spark, self.path)
 
     # Files
 
@@ -105,21 +121,85 @@ class ProjectStore:
         return self.fs.exists(self._path(path))
 
     def _put(self, path: str, text: str) -> None:
-        """A small file, in place at once: written beside it and renamed over it."""
-        temporary = f"{path}.{uuid.uuid4().hex}"
-        out = self.fs.create(self._path(temporary), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self._exists(path):
-            self.fs.delete(self._path(path), False)
-        if not self.fs.rename(self._path(temporary), self._path(path)):
-            raise StoreError(f"could not publish {path}")
+        """A small file, whole and only if there is none of the name."""
+        if not put_if_absent(self.spark, path, text):
+            raise Conflict(path)
 
     def _get(self, path: str) -> str:
-        return self.spark.read.text(path, wholetext=True).first()[0]
-
-    def _pointer(self, component: str) -> str:
-        return f"{self.path}/{component}.json"
+        text = read_text(self.spark, path)
+        if text is None:
+            raise NotFound(path)
+        return text
+
+    def _log(self, component: str) -> str:
+        return f"{self.path}/{component}.log"
+
+    def versions(self, component: str) -> list[int]:
+        """The component's committed versions, oldest first."""
+        if not self._exists(self._log(component)):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._path(self._log(component)))]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _entry(self, component: str, version: int | None = None) -> tuple[int, dict]:
+        """The number and content of a version, the newest if none is asked for; (-1, no tables) before the first."""
+        known = self.versions(component)
+        if not known and version is None:
+            return -1, {"version": VERSION, "tables": {}}
+        at = known[-1] if version is None else version
+        if at not in known:
+            raise MissingComponent(f"{component} version {at}")
+        return at, json.loads(self._get(f"{self._log(component)}/{at:012d}.json"))
+
+    def _commit(self, component: str, version: int, tables: dict[str, list[str]]) -> None:
+        """Put the version in place; Conflict if another is there."""
+        self._put(f"{self._log(component)}/{version:012d}.json", json.dumps({"version": VERSION, "tables": tables}))
+
+    def _folder(self, component: str, table: str, df: DataFrame) -> str:
+        """Rows written to a new folder, which no version names yet."""
+        empty = self.spark.createDataFrame([], SCHEMAS[component][table])
+        name = f"{component}-{table}-{uuid.uuid4().hex}"
+        df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _change(self, component: str, make: Callable[[dict[str, list[str]]], dict[str, list[str]]]) -> None:
+        """Commit what `make` gives for the newest state, again from the start while others commit in between.
+
+        A table of over MOST_FOLDERS folders is merged in a version of its own.
+        """
+        for _ in range(ATTEMPTS):
+            at, entry = self._entry(component)
+            try:
+                self._commit(component, at + 1, make(dict(entry["tables"])))
+                break
+            except Conflict:
+                continue
+        else:
+            raise Conflict(f"{component}: {ATTEMPTS} attempts")
+        at, entry = self._entry(component)
+        many = {t: f for t, f in entry["tables"].items() if len(f) > MOST_FOLDERS}
+        if many:
+            merged = {t: [self._folder(component, t, self._rows(component, t, f))] for t, f in many.items()}
+            with contextlib.suppress(Conflict):  # the next writer will merge
+                self._commit(component, at + 1, entry["tables"] | merged)
+
+    def _rows(self, component: str, table: str, folders: list[str]) -> DataFrame:
+        schema = SCHEMAS[component][table]
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def vacuum(self) -> int:
+        """Delete the folders that no component's newest version names, and older versions; returns how many folders. No one may be writing."""
+        kept: set[str] = set()
+        for c in SCHEMAS:
+            *old, newest = self.versions(c) or [-1]
+            kept |= {f for fs in self._entry(c)[1]["tables"].values() for f in fs}
+            for v in old:
+                self.fs.delete(self._path(f"{self._log(c)}/{v:012d}.json"), False)
+        found = [f.getPath() for f in self.fs.listStatus(self._path(self.path)) if f.isDirectory() and f.getPath().getName().split("-")[0] in SCHEMAS]
+        dropped = [p for p in found if p.getName() not in kept]
+        for p in dropped:
+            self.fs.delete(p, True)
+        return len(dropped)
 
     # Opening
 
@@ -130,9 +210,12 @@ class ProjectStore:
         if store._exists(f"{store.path}/meta.json"):
             raise AlreadyExists(path)
         store.fs.mkdirs(store._path(store.path))
-        store._put(f"{store.path}/meta.json", json.dumps({"version": VERSION}))
         for c in components:
             store.write(c, {})
+        try:
+            store._put(f"{store.path}/meta.json", json.dumps({"version": VERSION}))
+        except Conflict as e:
+            raise AlreadyExists(path) from e
         return store
 
     @classmethod
@@ -142,7 +225,7 @@ class ProjectStore:
         if not store._exists(f"{store.path}/meta.json"):
             raise NotFound(path)
         for c in store.components():
-            found = json.loads(store._get(store._pointer(c)))["version"]
+            found = store._entry(c)[1]["version"]
             if found != VERSION:
                 raise VersionMismatch(f"{c}: version {found}, not {VERSION}")
         return store
@@ -157,28 +240,21 @@ class ProjectStore:
 
     def components(self) -> list[str]:
         """D1."""
-        return [c for c in SCHEMAS if self._exists(self._pointer(c))]
-
-    def _require(self, component: str) -> dict:
-        if not self._exists(self._pointer(component)):
-            raise MissingComponent(component)
-        return json.loads(self._get(self._pointer(component)))
+        return [c for c in SCHEMAS if self.versions(c)]
 
     # Components
 
     def write(self, component: str, tables: dict[str, DataFrame]) -> None:
         """Replace a component's tables; those not given are empty."""
-        version = uuid.uuid4().hex
-        for name, schema in SCHEMAS[component].items():
-            df = tables.get(name)
-            empty = self.spark.createDataFrame([], schema)
-            fitted = empty if df is None else df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema])
-            fitted.write.parquet(f"{self.path}/{component}-{version}/{name}")
-        self._put(self._pointer(component), json.dumps({"version": VERSION, "folder": f"{component}-{version}"}))
-
-    def read(self, component: str, table: str) -> DataFrame:
-        folder = self._require(component)["folder"]
-        return self.spark.read.schema(SCHEMAS[component][table]).parquet(f"{self.path}/{folder}/{table}")
+        made = {t: [self._folder(component, t, df)] for t, df in tables.items() if df is not None and t in SCHEMAS[component]}
+        self._change(component, lambda _: made)
+
+    def read(self, component: str, table: str, version: int | None = None) -> DataFrame:
+        """A table as it stands, or as it stood in an older version."""
+        at, entry = self._entry(component, version)
+        if at < 0:
+            raise MissingComponent(component)
+        return self._rows(component, table, entry["tables"].get(table, []))
 
     def sql(self, query: str, **args) -> DataFrame:
         """A query with named parameters over this store's tables as views."""
@@ -237,19 +313,27 @@ class ProjectStore:
             return None
         return self.read("graph", "graph_loci").join(self.read("geneticData", "loci"), "locus_ord").orderBy("locus_ord")
 
-    # Appending: the whole component is small and is rewritten, so ordinals never clash within one writer.
+    # Appending: a small folder for the new row; its ordinal follows from the state it is committed upon, so ordinals never clash.
 
     def next_ordinal(self, component: str, table: str) -> int:
         """W7."""
         return self.read(component, table).agg(F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).first()[0]
 
     def _append(self, component: str, table: str, row: dict) -> str:
-        others = {t: self.read(component, t) for t in SCHEMAS[component]}
-        made = {"ordinal": self.next_ordinal(component, table), "id": uuid.uuid4().hex} | row
         schema = self.spark.createDataFrame([], SCHEMAS[component][table]).schema
-        one = self.spark.createDataFrame([[made.get(f.name) for f in schema]], schema)
-        self.write(component, others | {table: others[table].unionByName(one)})
-        return made["id"]
+        id = uuid.uuid4().hex
+        if not self.versions(component):
+            raise MissingComponent(component)
+
+        def make(tables: dict[str, list[str]]) -> dict[str, list[str]]:
+            old = tables.get(table, [])
+            ordinal = self._rows(component, table, old).agg(F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).first()[0]
+            values = {"ordinal": ordinal, "id": id} | row
+            one = self.spark.createDataFrame([[values.get(f.name) for f in schema]], schema)
+            return tables | {table: [*old, self._folder(component, table, one)]}
+
+        self._change(component, make)
+        return id
 
     def add_result(self, name: str, body: str, created_at, description: str | None = None) -> str:
         """D20."""
@@ -267,10 +351,17 @@ class ProjectStore:
         """Insert or replace by (result, name)."""
         if not self.result(result_id).limit(1).count():
             raise UnknownReference(result_id)
-        both = {t: self.read("results", t) for t in SCHEMAS["results"]}
         one = self.spark.createDataFrame([(result_id, name, mime_type, width, height, bytearray(data))], SCHEMAS["results"]["result_images"])
-        kept = both["result_images"].where(~((F.col("result_id") == result_id) & (F.col("name") == name)))
-        self.write("results", both | {"result_images": kept.unionByName(one)})
+        same = (F.col("result_id") == result_id) & (F.col("name") == name)
+
+        def make(tables: dict[str, list[str]]) -> dict[str, list[str]]:
+            old = tables.get("result_images", [])
+            held = self._rows("results", "result_images", old)
+            if held.where(same).isEmpty():
+                return tables | {"result_images": [*old, self._folder("results", "result_images", one)]}
+            return tables | {"result_images": [self._folder("results", "result_images", held.where(~same).unionByName(one))]}
+
+        self._change("results", make)
 
     def image(self, result_id: str, name: str) -> DataFrame:
         """D24."""
@@ -417,7 +508,16 @@ def naturally(table: DataFrame, column: str = "name") -> DataFrame:
 
 def loci_in_order(loci: DataFrame) -> DataFrame:
     """By contig, then location."""
-    return loci.orderBy(natural_key(F.col("contig")), "contig", "location")
+    return loci.orderBy(*_locus_order())
+
+
+def loci_ranked(loci: DataFrame) -> DataFrame:
+    """loci with their rank in that order, from 1."""
+    return numbered(loci, _locus_order(), "rank", 1)
+
+
+def _locus_order() -> list:
+    return [natural_key(F.col("contig")), "contig", "location"]
 
 
 def markers_for_matrix(genotypes: DataFrame, loci: DataFrame) -> DataFrame:

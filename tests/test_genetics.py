@@ -66,7 +66,7 @@ def naive(rows, strategy):
 
 @pytest.mark.parametrize("strategy", distance.STRATEGIES)
 def test_distances_match_definition(spark, strategy, monkeypatch):
-    monkeypatch.setattr(distance, "BLOCK", 5)
+    monkeypatch.setattr(distance.genotype_bits, "BLOCK", 5)
     rng = random.Random(7)
     rows = [(i, l, *((0, 0) if rng.random() < 0.15 else (rng.randint(1, 4), 0) if rng.random() < 0.1 else (rng.randint(1, 4), rng.randint(1, 4)))) for i in range(17) for l in range(6)] + [(99, l, 0, 0) for l in range(6)]
     got = {(r.i, r.j): r.d2 for r in distance.genetic_distance(panel(spark, rows), strategy).collect()}
@@ -116,8 +116,8 @@ def test_phi_forms_agree(spark):
     observed, values = distance.permutation_test(d, s, 40, 5)
     again = distance.permutation_test(d, s, 40, 5)[1]
     assert math.isclose(observed, phi) and values.orderBy("iter").collect() == again.orderBy("iter").collect()
-    steps = list(distance.permutation_progress(d, s, 40, 15, 5))
-    assert [n for n, _ in steps] == [15, 30, 40] and math.isclose(steps[-1][1], resampling.p_value(values, observed).first().p_value)
+    steps = distance.permutation_progress(d, s, 40, 15, 5).orderBy("done").collect()
+    assert [r.done for r in steps] == [15, 30, 40] and math.isclose(steps[-1].p_value, resampling.p_value(values, observed).first().p_value)
 
 
 def test_resampling(spark):
