@@ -11,12 +11,15 @@ with equal payloads (SHA-1 and length) the one with the largest page_id is a
 response with the payload; the others are revisits that name it and carry its
 digest and length.
 
-Files get temporary names; each task reports what it wrote, the reports of the
-attempts that count are stored, tasks give those files their names, which follow
-from range and place in it, and a rename publishes the manifest. A file that has
-its name already, from an attempt that was lost, is left as it is. Files of lost or
-repeated attempts are in no manifest, are never read, and go with the temporary
-folder.
+Files get temporary names in a folder of this run; each task reports what it wrote,
+the reports of the attempts that count are stored, and tasks give those files their
+names, which follow from range and place in it. A file that has its name already, from
+a run that was lost, stays if its bytes are the same, else it is replaced. One small
+file, put in place only if there is none, then names the run's manifest and a
+fingerprint of its pages; that publishes it. So a run that died at any step can be
+started again: it writes the same files, and clears the folders of runs before it. A
+folder that is published is not written again: the same pages give its manifest, others
+are refused (FileExistsError). Two runs at once into one folder are not supported.
 
 Storage: any file system that Hadoop names and pyarrow opens by URI, shared by driver
 and executors; a path without scheme is of the default file system.
@@ -36,6 +39,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,12 +51,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialise, scratch
+from popspark.sources.files import file_system, put_if_absent, read_text
+
+from .common import materialise, scratch
 
 ROLL_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 READ_BYTES = 1 << 20
+#: The file that publishes a folder, and the columns of the manifest it names.
+MANIFEST, MANIFEST_SCHEMA = "manifest.json", "file string, first_page long, records long, bytes long, sha256 string"
 #: Payload bytes of a range, in files' sizes; ranges at most, about (their first page_ids go to all tasks, 8 bytes each).
 RANGE_ROLLS, MOST_RANGES = 4, 1 << 20
 
@@ -164,10 +172,19 @@ def _ranged(rows: DataFrame, sizes: DataFrame, range_bytes: int) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Write pages (page_id, url, html) as WARC files under folder; returns the manifest."""
+    """Write pages (page_id, url, html) as WARC files under folder; returns the manifest. To be run again after a crash."""
     spark = pages.sparkSession
     folder = qualified(spark, folder)
-    staging = f"{folder}/_temporary-warc"
+    source = fingerprint(pages, roll_bytes)
+    published = read_text(spark, f"{folder}/{MANIFEST}")
+    if published is not None:
+        found = json.loads(published)
+        if found["source"] != source:
+            raise FileExistsError(f"{folder} holds other pages")
+        clear_lost_runs(spark, folder, found["manifest"])
+        return manifest_of(spark, folder)
+    run_folder = f"_temporary-{uuid.uuid4().hex}"
+    staging = f"{folder}/{run_folder}"
     fs, path = open_folder(staging)
     fs.create_dir(path, recursive=True)
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -188,23 +205,57 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFr
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, base = open_folder(folder)
         for batch in batches:
-            for temporary, file in zip(batch.column("temporary").to_pylist(), batch.column("file").to_pylist(), strict=True):
-                if out.get_file_info(f"{base}/{file}").type == pafs.FileType.NotFound:
-                    out.move(f"{base}/_temporary-warc/{temporary}", f"{base}/{file}")
+            for temporary, file, sha256 in zip(*(batch.column(c).to_pylist() for c in ("temporary", "file", "sha256")), strict=True):
+                if out.get_file_info(f"{base}/{file}").type != pafs.FileType.NotFound:
+                    if file_sha256(out, f"{base}/{file}") == sha256:
+                        continue
+                    out.delete_file(f"{base}/{file}")
+                out.move(f"{base}/{run_folder}/{temporary}", f"{base}/{file}")
             yield batch.drop_columns(["temporary"])
 
     sizes = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).cast("long").alias("length"))
     ranged = _ranged(_prepared(pages), sizes, RANGE_ROLLS * roll_bytes).select("part", "cut", "page_id", "url", "payload", "digest", "length", "refers_to")
     ordered = ranged.repartition("part", "cut").sortWithinPartitions("part", "cut", "page_id", "digest", "url")
-    ordered.mapInArrow(run, schema).write.parquet(f"{folder}/_reported")
-    reported = spark.read.schema(schema).parquet(f"{folder}/_reported")
-    named = reported.mapInArrow(rename, schema.partition(", ")[2])
-    named.write.parquet(f"{folder}/_manifest-new")
-    out, base = open_folder(folder)
-    out.move(f"{base}/_manifest-new", f"{base}/manifest.parquet")
-    drop_scratch(spark, staging)
-    drop_scratch(spark, f"{folder}/_reported")
-    return spark.read.schema(schema.partition(", ")[2]).parquet(f"{folder}/manifest.parquet").orderBy("file")
+    ordered.mapInArrow(run, schema).write.parquet(f"{staging}/reported")
+    reported = spark.read.schema(schema).parquet(f"{staging}/reported")
+    name = f"_manifest-{uuid.uuid4().hex}"
+    reported.mapInArrow(rename, MANIFEST_SCHEMA).write.parquet(f"{folder}/{name}")
+    if not put_if_absent(spark, f"{folder}/{MANIFEST}", json.dumps({"manifest": name, "source": source})):
+        raise FileExistsError(f"{folder} was published by another run")
+    clear_lost_runs(spark, folder, name)
+    return manifest_of(spark, folder)
+
+
+def fingerprint(pages: DataFrame, roll_bytes: int) -> str:
+    """Rows, and sums of two hashes of each, whatever their order."""
+    row = [F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit(""))]
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(k), *row).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in (1, 2)]
+    return ":".join(map(str, pages.agg(F.count("*"), *sums).first())) + f":{roll_bytes}"
+
+
+def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
+    """file, first_page, records, bytes and sha256 of a published folder's files, in order."""
+    published = read_text(spark, f"{folder}/{MANIFEST}")
+    if published is None:
+        raise FileNotFoundError(f"{folder} is not published")
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/{json.loads(published)['manifest']}").orderBy("file")
+
+
+def clear_lost_runs(spark: SparkSession, folder: str, manifest: str) -> None:
+    """Delete this run's and all lost runs' temporary folders and manifests but the one that counts."""
+    fs, path = file_system(spark, folder)
+    for f in fs.listStatus(path):
+        name = f.getPath().getName()
+        if f.isDirectory() and name != manifest and name.startswith(("_temporary-", "_manifest-")):
+            fs.delete(f.getPath(), True)
+
+
+def file_sha256(fs: pafs.FileSystem, path: str) -> str:
+    found = hashlib.sha256()
+    with fs.open_input_stream(path, compression=None) as stream:
+        while block := stream.read(READ_BYTES):
+            found.update(block)
+    return found.hexdigest()
 
 
 def read_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -229,7 +280,7 @@ def read_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload from the files of the manifest."""
     folder = qualified(spark, folder)
-    manifest = spark.read.parquet(f"{folder}/manifest.parquet")
+    manifest = manifest_of(spark, folder)
     files = manifest.count()
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 

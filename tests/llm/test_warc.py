@@ -1,9 +1,12 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
 import re
 
+import pytest
+
 from popspark.llm import common, warc
 
 
@@ -38,10 +41,8 @@ def test_round_trip(spark, sf):
     html = {p: h for p, _, h in rows}
     assert all(bytes(r.payload).decode() == (html[r.page_id] or "") for r in got if r.payload is not None)
     local = folder.removeprefix("file://")
-    import os
-
     names = sorted(os.listdir(local))
-    assert sum(n.endswith(".warc.gz") for n in names) == len(manifest) and "manifest.parquet" in names and not [n for n in names if n.startswith("_temporary")]
+    assert sum(n.endswith(".warc.gz") for n in names) == len(manifest) and "manifest.json" in names and not [n for n in names if n.startswith("_temporary")]
     for m in manifest:
         raw = open(f"{local}/{m.file}", "rb").read()
         assert len(raw) == m.bytes and hashlib.sha256(raw).hexdigest() == m.sha256
@@ -65,5 +66,51 @@ def test_same_rows_same_files(spark, sf):
     assert len({m[0][:18] for m in manifests[0] if m[0].startswith("part-0000000-")}) > 3  # null ids
 
 
+class Dead(Exception):
+    pass
+
+
+def test_written_twice_and_refused_for_other_pages(spark, sf):
+    df = spark.createDataFrame(pages(spark, sf), "page_id long, url string, html string")
+    folder = common.scratch(spark, "warc-test")
+    once = warc.write(df, folder, roll_bytes=20_000).collect()
+    assert warc.write(df.repartition(5), folder, roll_bytes=20_000).collect() == once
+    with pytest.raises(FileExistsError):
+        warc.write(df.limit(10), folder, roll_bytes=20_000)
+
+
+@pytest.mark.parametrize("step", ["reported", "renamed", "published", "cleared", "half renamed"])
+def test_run_again_after_a_crash_at_any_step(spark, sf, monkeypatch, step):
+    df = spark.createDataFrame(pages(spark, sf), "page_id long, url string, html string").repartition(3)
+    want = [tuple(m) for m in warc.write(df, common.scratch(spark, "warc-test"), roll_bytes=20_000).collect()]
+    folder = common.scratch(spark, "warc-test")
+    local = folder.removeprefix("file://")
+
+    def dies(*args, **more):
+        raise Dead
+
+    with monkeypatch.context() as m:
+        if step == "reported":
+            m.setattr(warc, "MANIFEST_SCHEMA", "file string, first_page long, records long, bytes long, sha256 no_such_type")
+        elif step in ("renamed", "half renamed"):
+            m.setattr(warc, "put_if_absent", dies)
+        elif step == "published":
+            m.setattr(warc, "clear_lost_runs", dies)
+        else:
+            m.setattr(warc, "manifest_of", dies)
+        with pytest.raises(Exception):  # noqa: B017
+            warc.write(df, folder, roll_bytes=20_000)
+    if step == "half renamed":  # of the files, one lost and one cut short
+        files = sorted(n for n in os.listdir(local) if n.endswith(".warc.gz"))
+        os.remove(f"{local}/{files[0]}")
+        with open(f"{local}/{files[1]}", "r+b") as f:
+            f.truncate(100)
+    got = [tuple(m) for m in warc.write(df.repartition(2), folder, roll_bytes=20_000).collect()]
+    assert got == want and warc.read(spark, folder).count() == df.count()
+    assert [n for n in os.listdir(local) if n.startswith("_temporary")] == [] and sum(n.startswith("_manifest") for n in os.listdir(local)) == 1
+    for file, *_, sha in got:
+        assert hashlib.sha256(open(f"{local}/{file}", "rb").read()).hexdigest() == sha
+
+
 def test_empty(spark):
     assert warc.digest(spark.createDataFrame([], "page_id long, url string, html string, extra int")).count() == 0
