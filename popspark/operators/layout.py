@@ -113,14 +113,13 @@ def touching(nodes: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
     touches is in its cell or a neighbouring one (3 to the number of axes).
     """
     a, b = _sides(nodes, axes)
-    widest = nodes.agg(F.greatest(2 * F.max("radius"), F.lit(1e-9)).alias("cell"))  # one row
+    cell = F.lit(max(2.0 * (nodes.agg(F.max("radius")).first()[0] or 0.0), 1e-9))  # one number
     grid = [f"g{c}" for c in axes]
-    at = lambda c: F.floor(F.col(c) / F.col("cell"))
-    b = b.crossJoin(F.broadcast(widest)).select("*", *[at(f"{c}2").alias(g) for c, g in zip(axes, grid, strict=True)]).drop("cell")
-    a = a.crossJoin(F.broadcast(widest))
+    at = lambda c: F.floor(F.col(c) / cell)
+    b = b.select("*", *[at(f"{c}2").alias(g) for c, g in zip(axes, grid, strict=True)])
     for c, g in zip(axes, grid, strict=True):
         a = a.withColumn(g, F.explode(F.sequence(at(c) - 1, at(c) + 1)))
-    met = _meet(a.drop("cell"), b, grid, b.groupBy(*grid).agg(F.count("*").alias("n")))
+    met = _meet(a, b, grid, b.groupBy(*grid).agg(F.count("*").alias("n")))
     d = _length(*[F.col(c) - F.col(f"{c}2") for c in axes])
     return met.where("id <> other").withColumn("d", d).where(F.col("radius") + F.col("r2") > F.col("d")).drop(*grid)
 

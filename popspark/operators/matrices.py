@@ -288,7 +288,7 @@ def triangular_factor(rows: DataFrame, vector: str, center: bool = False) -> tup
     schema = "part int, r array<double>"
     held = saved(_vectors(rows, vector).mapInArrow(reduce_rows, schema), "triangles")
     while held.count() > 1:
-        held = saved(held.groupBy(F.floor(F.col("part") / FAN).cast("int").alias("part")).applyInArrow(merge, schema), "triangles")
+        held = saved(held.groupBy(F.floor(F.col("part") / FAN).cast("int").alias("next")).applyInArrow(merge, schema), "triangles")
     last = held.first()
     return (np.array(last.r).reshape(-1, p) if last is not None else np.zeros((0, p))), mean, n
 

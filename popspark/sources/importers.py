@@ -110,7 +110,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     # With the newlines between them, lines are one byte longer than a file that does not end in one (a byte order mark, three bytes, is no text).
     last = offsets.groupBy("file", "size").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
     ended = last.agg(F.max(F.struct("file", (F.col("size") - F.col("bytes")).isin(0, 3).alias("closed"))).alias("m"), F.sum("n").alias("n")).where("m.closed")
-    return lines.unionByName(ended.select((F.col("n") + 1).alias("line"), F.lit("").alias("text")))
+    # No literal: what is worked out from text must not be worked out for it before it is filtered.
+    return lines.unionByName(ended.select((F.col("n") + 1).alias("line"), F.substring("m.file", 1, 0).alias("text")))
 
 
 def split_csv(spark: SparkSession, path: str) -> DataFrame:
