@@ -27,9 +27,9 @@ rows. Other columns of the documents are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -41,7 +41,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import kept, materialise
 from .tokencount import sliced, vocabulary_file
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -251,13 +251,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-@functools.cache
 def aligner(a: str, b: str) -> Aligner:
     """A worker keeps its aligner between tasks."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Aligner(vocabulary_file(a), vocabulary_file(b))
+    return kept(("aligner", a, b), lambda: Aligner(vocabulary_file(a), vocabulary_file(b)))
 
 
 def aligned(docs: DataFrame, a: str = BYTE_VOCABULARY, b: str = PIECE_VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:

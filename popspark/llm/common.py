@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept[T](key: tuple, make: Callable[[], T]) -> T:
+    """What make() gave for the key in this Python process, so that a worker keeps it between tasks.
+
+    Functions travel to workers by value, and module variables with them; so it hangs
+    on a module of its own.
+    """
+    held = sys.modules.setdefault("popspark_kept", types.ModuleType("popspark_kept")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a path under the shared folder."""
     jvm = spark.sparkContext._jvm

@@ -22,7 +22,6 @@ underscore in front. The text column holds the new text.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -186,11 +185,6 @@ def draws(key: Column, seed: str = SEED) -> Column:
     return F.array(*[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)])
 
 
-@functools.cache
-def _unit(pattern: str) -> re.Pattern[str]:
-    return re.compile(pattern)
-
-
 NEW = {"n_units": pa.int64(), "form": pa.string(), "prefix_chars": pa.int64(), "middle_chars": pa.int64()}
 
 
@@ -217,7 +211,7 @@ def transform(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: st
     rows = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if i == at else F.col(f"`{c}`") for i, c in enumerate(docs.columns)], draws(F.col(f"`{key}`"), seed).alias(drawn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = _unit(unit)
+        pattern = re.compile(unit)
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)

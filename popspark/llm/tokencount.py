@@ -28,8 +28,8 @@ the documents are not read. A vocabulary whose steps are not known to be context
 
 from __future__ import annotations
 
-import functools
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import kept, materialise
 
 VOCABULARY = "word_bpe_49k.json"
 CHUNK, OVERLAP, LIMIT = 32_768, 512, 2048
@@ -60,9 +60,12 @@ def vocabulary_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-@functools.cache
 def composing() -> frozenset[str]:
     """Characters that may join an earlier one under NFC: the second parts of canonical pairs, Hangul vowels and finals."""
+    return kept(("composing",), _composing)
+
+
+def _composing() -> frozenset[str]:
     pairs = (unicodedata.decomposition(chr(i)).split() for i in range(0x110000))
     seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
     return frozenset(seconds | {chr(i) for i in range(0x1161, 0x1176)} | {chr(i) for i in range(0x11A8, 0x11C3)})
@@ -135,13 +138,10 @@ class Encoder:
         return len(e), spans[at, 0], at
 
 
-@functools.cache
 def encoder(name: str) -> Encoder:
     """A worker keeps its encoders between tasks."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(vocabulary_file(name))
+    return kept(("encoder", name), lambda: Encoder(vocabulary_file(name)))
 
 
 def _windows(text: str, chunk: int, overlap: int) -> list[str]:
