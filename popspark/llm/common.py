@@ -9,6 +9,7 @@ import types
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,15 @@ def split_words(text: Column, separators: str = SPACE_RUN) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of unsigned 64-bit hashes: bit b is 1 if it is in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 

@@ -16,6 +16,12 @@ grow together: a plane XOR the query's bit is added into a carry-save counter of
 two bit vectors and an overflow vector, and a block of queries is abandoned
 once no member is within the radius.
 
+The pipeline's near-dedup (keep_first) uses the same files and planes with the
+fingerprints of similar, at WIDE bits: two fingerprints within 6 bits agree on at
+least 2 bytes, so there are 28 choices again, and a third counter. Its pairs are
+confirmed on the whole sets of shingles, and what fingerprints can't find is added
+(see similar).
+
 Nulls and edge cases: a null or wordless text has fingerprint zero and is
 linked like any other; a text of one or two words is one shingle; repeated
 rows stay, each with its group's id; a null doc_id stays a row and never is a
@@ -35,13 +41,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import LOWER, SPACE_RUN, UPPER, drop_scratch, materialise, row_hash, scratch
+from .common import LOWER, SPACE_RUN, UPPER, drop_scratch, majority, materialise, row_hash, scratch
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 #: Query members compared at a time: bounds a block's memory at 512 x 2**16 bits.
 QUERY_BLOCK = 512
+#: Bits that fingerprints of near copies may differ in; files of so many members or fewer, one word of a plane, are compared side by side.
+WIDE, SMALL = 6, 64
 
 _FOLD = str.maketrans(UPPER, LOWER)
 _BREAKS = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
@@ -61,11 +69,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,29 +102,36 @@ class BitPlanes:
         self.members = np.packbits(tail, bitorder="little").view(np.uint64)
 
     def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """A packed row for each query: the members within radius (at most 3) bits."""
+        """A packed row for each query: the members within radius bits."""
         shape = (len(queries), self.words)
-        ones, twos, over = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
+        counters, over = [np.zeros(shape, np.uint64) for _ in range(radius.bit_length())], np.zeros(shape, np.uint64)
         over |= ~self.members
         flips = np.where(self.bits[queries], ~np.uint64(0), np.uint64(0))
         for b in range(len(self.used)):
-            differ = self.planes[b][None, :] ^ flips[:, b][:, None]
-            carry = ones & differ
-            ones ^= differ
-            over |= twos & carry
-            twos ^= carry
-            if b % 8 == 7 and b + 1 < len(self.used) and not (~self._past(ones, twos, over, radius)).any():
+            carry = self.planes[b][None, :] ^ flips[:, b][:, None]
+            for counter in counters:
+                both = counter & carry
+                counter ^= carry
+                carry = both
+            over |= carry
+            if b % 8 == 7 and b + 1 < len(self.used) and not (~self._past(counters, over, radius)).any():
                 return np.zeros(shape, np.uint64)
-        return ~self._past(ones, twos, over, radius)
+        return ~self._past(counters, over, radius)
 
     @staticmethod
-    def _past(ones: np.ndarray, twos: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
-        return over | {0: ones | twos, 1: twos, 2: ones & twos, 3: np.zeros_like(over)}[radius]
+    def _past(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+        """Where the counters, lowest first, hold more than radius."""
+        past, level = over, ~np.uint64(0)
+        for k in reversed(range(len(counters))):
+            if not radius >> k & 1:
+                past = past | level & counters[k]
+            level = level & (counters[k] if radius >> k & 1 else ~counters[k])
+        return past
 
 
-def group_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+def group_links(fps: np.ndarray, radius: int = RADIUS, direct: bool = False) -> list[tuple[int, int]]:
     """Links that join the same fingerprints as all links within radius do: each
-    linked member with the first member of its group."""
+    linked member with the first member of its group, or if direct, with one within radius."""
     if len(fps) == 2:
         return [(int(fps[1]), int(fps[0]))] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
     planes, links = BitPlanes(fps), []
@@ -133,15 +144,52 @@ def group_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
         while len(front):
             found = []
             for i in range(0, len(front), QUERY_BLOCK):
-                near = np.bitwise_or.reduce(planes.within(front[i : i + QUERY_BLOCK], radius), axis=0) & left
+                rows = planes.within(front[i : i + QUERY_BLOCK], radius)
+                near = np.bitwise_or.reduce(rows, axis=0) & left
                 if near.any():
                     left &= ~near
-                    found.append(np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")))
+                    new = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
+                    by = front[i + (rows[:, new >> 6] >> (new & 63).astype(np.uint64) & np.uint64(1)).argmax(axis=0)] if direct else np.full(len(new), root)
+                    links += zip(fps[new].tolist(), fps[by].tolist(), strict=True)
+                    found.append(new)
             front = np.concatenate(found) if found else np.array([], np.int64)
-            links += [(int(fps[j]), int(fps[root])) for j in front]
     return links
 
 
+def file_links(flat: np.ndarray, offsets: np.ndarray, radius: int = WIDE) -> list[tuple[int, int]]:
+    """The direct links of many files, given as one array and its offsets. Most files of a wide radius
+    have no link, so members that are near no other are left out before links are followed."""
+    sizes, linked = np.diff(offsets), []
+    for size in np.unique(sizes).tolist():
+        starts = offsets[:-1][sizes == size]
+        if size > SMALL:
+            for start in starts.tolist():
+                fps = np.sort(flat[start : start + size])
+                planes = BitPlanes(fps)
+                alone = np.concatenate([np.bitwise_count(planes.within(np.arange(i, min(i + QUERY_BLOCK, size)), radius)).sum(axis=1) < 2 for i in range(0, size, QUERY_BLOCK)])
+                linked.append(fps[~alone])
+            continue
+        i, j = np.triu_indices(size, 1)
+        step = max(1, (1 << 17) // max(1, len(i)))
+        for at in range(0, len(starts), step):
+            members = np.sort(flat[starts[at : at + step, None] + np.arange(size)], axis=1)
+            near = np.bitwise_count(members[:, i] ^ members[:, j]) <= radius
+            for k in np.flatnonzero(near.any(axis=1)):
+                linked.append(members[k, np.unique(np.concatenate((i[near[k]], j[near[k]])))])
+    return [x for fps in linked if len(fps) > 1 for x in group_links(fps, radius, direct=True)]
+
+
+def _compare_wide(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("fps")
+            offsets = column.offsets.to_numpy()
+            pairs = np.array(file_links(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), offsets - offsets[0], radius), np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _compare_files(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +224,19 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return files.mapInArrow(_compare_files(radius), "a long, b long").distinct()
 
 
+def close_pairs(distinct: DataFrame, radius: int = WIDE) -> DataFrame:
+    """Pairs (a, b) of the distinct column fp within radius bits that join what all such pairs join, to be confirmed.
+
+    At 6 bits a file has 16 bits in common, about one in 65,536 of the fingerprints.
+    """
+    if not 0 <= radius <= 7:
+        raise ValueError("radius must be from 0 to 7")
+    # Hardly any key repeats within a task, so rows go to their file as they are: gathering them first only takes memory.
+    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), radius)).alias("key")).select("fp", "key.*").repartition("choice", "kept")
+    files = keyed.groupBy("choice", "kept").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    return files.mapInArrow(_compare_wide(radius), "a long, b long").distinct()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): alternating large-star and small-star.
 
@@ -221,7 +282,7 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near copies (see similar): that with the smallest doc_id.
+    """docs with one row of each group of near copies (by fingerprints, confirmed and completed; see similar): that with the smallest doc_id.
 
     A null doc_id comes last; of several rows with the kept doc_id, that with
     the smallest row_hash stays, and of exact repeats of that row one.
@@ -229,7 +290,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     path = scratch(docs.sparkSession, "similar-sets")
     similar.shingle_sets(docs).write.option("compression", "zstd").parquet(path)
     sets = docs.sparkSession.read.parquet(path)
-    roots = similar.similar_keys(sets, docs, connected_components)
+    roots = similar.similar_keys(sets, docs, close_pairs, connected_components)
     each = sets.groupBy("key", "doc_id", "row_hash").agg(F.count("*").alias("rows"))
     best = each.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash", "rows")).alias("best"))
     named = best.join(roots, best.key == roots.node, "left").select("best", F.coalesce("root", "key").alias("root"))
