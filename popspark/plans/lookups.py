@@ -154,7 +154,7 @@ def locus_distance_and_coverage(spark, d):
 
 @query(f"WITH {RESCALED} SELECT least(a.stratum, b.stratum) AS g, greatest(a.stratum, b.stratum) AS h, round(sum(d2), 4) AS s FROM dist JOIN labels_of a ON a.ind = i JOIN labels_of b ON b.ind = j GROUP BY ALL", "g_snp", "labels_of")
 def stratum_pair_sums(spark, d):
-    return rounded(distance.pair_sums(distance.genetic_distance(domain.snp(spark, d)), domain.labels(spark, d)), 4)
+    return rounded(distance.genetic_pair_sums(domain.snp(spark, d), domain.labels(spark, d)), 4)
 
 
 # Vectors.
