@@ -214,8 +214,7 @@ def glm_permutation_null(spark, d):
 
 @query(f"WITH {MATERIALISED}, {relabel('3', PERMUTATIONS)} SELECT iter, round(va / (va + vw), 6) AS value FROM v", "g_snp", "labels_of")
 def amova_permutation_test(spark, d):
-    held = stages.saved(distance.genetic_distance(domain.snp(spark, d)), "distances")
-    return rounded(distance.permutation_test(held, domain.labels(spark, d), PERMUTATIONS, 3)[1])
+    return rounded(distance.genetic_permutations(domain.snp(spark, d), domain.labels(spark, d), PERMUTATIONS, 3))
 
 
 @query()
