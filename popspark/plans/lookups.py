@@ -140,11 +140,9 @@ def triangle_gather(spark, d):
     "WITH l AS (SELECT x.ind AS i, y.ind AS j, x.locus, ((x.a1 = 2)::INT + (x.a2 = 2)::INT - (y.a1 = 2)::INT - (y.a2 = 2)::INT) ** 2 AS d FROM g_snp x JOIN g_snp y ON x.locus = y.locus AND x.ind < y.ind WHERE x.a1 <> 0 AND y.a1 <> 0) SELECT i, j, sum(d) FILTER (locus < 32) AS first, coalesce(sum(d) FILTER (locus < 32), 0) + coalesce(sum(d) FILTER (locus >= 32), 0) AS added, coalesce(sum(d) FILTER (locus < 32), 0) - coalesce(sum(d) FILTER (locus >= 32), 0) AS taken FROM l GROUP BY ALL HAVING first IS NOT NULL", "g_snp",
 )
 def triangle_add_subtract(spark, d):
-    each = distance.locus_distances(domain.snp(spark, d))
-    half = lambda which: each.where(which).groupBy("i", "j").agg(F.sum("d2").alias("value"))
-    a, b = half("locus < 32"), half("locus >= 32")
-    plus, minus = matrices.add_triangles(a, b).withColumnRenamed("value", "added"), matrices.add_triangles(a, b, -1).withColumnRenamed("value", "taken")
-    return a.withColumnRenamed("value", "first").join(plus, ["i", "j"]).join(minus, ["i", "j"])
+    both = genotype_bits.pair_sums(domain.snp(spark, d), classes=F.when(F.col("locus") < 32, 0).otherwise(1), kinds=2)
+    a, b = (F.when(F.col(f"c{k}") > 0, F.col(f"s{k}")) for k in (0, 1))
+    return both.where("c0 > 0").select("i", "j", a.alias("first"), matrices.added(a, b).alias("added"), matrices.added(a, b, -1).alias("taken"))
 
 
 @query("SELECT x.ind AS i, y.ind AS j, sum(((x.a1 = 2)::INT + (x.a2 = 2)::INT - (y.a1 = 2)::INT - (y.a2 = 2)::INT) ** 2) AS d2, count(*) AS covered FROM g_snp x JOIN g_snp y ON x.locus = y.locus AND x.ind < y.ind WHERE x.a1 <> 0 AND y.a1 <> 0 GROUP BY ALL", "g_snp")
