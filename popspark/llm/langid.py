@@ -14,9 +14,10 @@ each language (whole texts), chosen by a hash of doc_id, so its bound is a
 parameter. The vocabulary is read on the driver; pieces with their probabilities
 (at most the vocabulary's size) go to the executors.
 
-`accept` also rejects texts that fit no learned language: each language's training
-texts give the mean log probability a letter that all but MISFITS of them exceed,
-and a text more than MARGIN below that of its best language goes.
+`accept` also rejects texts that fit no learned language: of all texts that may be
+learned from, not only the sample, those told as the language they are labelled with
+give the mean log probability a letter that all but MISFITS of them exceed, and a text
+more than MARGIN below that of its best language goes. Each text is scored once.
 
 Nulls and edge cases: null text and text without a letter are `und`, score 0; a
 null lang is not learned from; with nothing to learn from every text is `und`,
@@ -37,7 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name
+from popspark.operators import quantiles
+
+from .common import fresh_name, materialise
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_ROWS, ROUNDS, SMOOTHING, MOST_PIECE = 400, 4, 0.05, 12
@@ -242,10 +245,14 @@ def _held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def _learnable() -> F.Column:
+    return F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))
+
+
 def _sample(docs: DataFrame, train_rows: int) -> tuple[DataFrame | None, list[str]]:
     """lang and text of about train_rows learnable rows of each language; the languages."""
     # Counting reads no text; rows without text only make the sample a little smaller.
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
+    usable = docs.where(_learnable())
     per = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not per:
         return None, []
@@ -275,13 +282,16 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, train_rows: int = TRAIN
     return fit({k: v for k, v in counts.items() if v}, read_vocabulary(vocabulary))
 
 
-def least_fits(docs: DataFrame, model: Model, train_rows: int = TRAIN_ROWS) -> dict[str, float]:
-    """For each language the fit that all but MISFITS of its training texts exceed, less MARGIN."""
-    sample, _ = _sample(docs, train_rows)
-    if sample is None:
-        return {}
-    told = predict(sample, model, ("told", "told_score", "fit")).where("told = lang")
-    return {r.lang: r.low - MARGIN for r in told.groupBy("lang").agg(F.percentile("fit", F.lit(MISFITS)).alias("low")).collect()}
+def least_fits(docs: DataFrame, model: Model) -> dict[str, float]:
+    """For each language the fit that all but MISFITS of the learnable texts labelled and told as it exceed, less MARGIN."""
+    slim = docs.where(_learnable()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    told = predict(slim, model, ("told", "told_score", "fit")).where("told = lang").select("lang", "fit")
+    return _bounds(materialise(told, "langid-fits"))
+
+
+def _bounds(fits: DataFrame) -> dict[str, float]:
+    """From lang and fit of the texts that count; exact, in memory that doesn't grow with them."""
+    return {r.lang: r.q[0] - MARGIN for r in quantiles.quantiles(fits, ["lang"], "fit", [MISFITS]).collect()}  # a row a language
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
@@ -313,12 +323,14 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def accept(docs: DataFrame, vocabulary: str = VOCABULARY, least: float = LEAST_SCORE) -> DataFrame:
     """docs without the rows whose language can't be told: `und`, a score under `least`, or a fit under that of its language's texts."""
     model = train(docs, vocabulary)
-    bounds = least_fits(docs, model)
     names: list[str] = []
     for name in ("told", "told_score", "fit"):
         names.append(fresh_name(name, docs.columns + names))
     told, score, fits = map(F.col, names)
-    marked = predict(docs, model, tuple(names)).where((told != "und") & (score >= least))
+    # Written with its scores: the bounds need all of them before the first row can go.
+    scored = materialise(predict(docs, model, tuple(names)), "langid-scored")
+    bounds = _bounds(scored.where(_learnable() & (told == F.col("lang"))).select("lang", fits.alias("fit")))
+    marked = scored.where((told != "und") & (score >= least))
     if bounds:
         bound = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(bounds.items()) for x in kv]), told)
         marked = marked.where(F.coalesce(fits >= bound, F.lit(True)))

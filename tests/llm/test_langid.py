@@ -105,3 +105,18 @@ def test_predictions_ignore_lang_and_source(spark, sf):
     a = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
     b = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.withColumn("lang", F.lit("fr")), model).collect()}
     assert a == b
+
+
+def test_bounds_come_from_all_learnable_texts(spark, monkeypatch):
+    rows = [(i, "abab ba" if i % 3 else "bbbb bab" + "b" * (i % 40), "x") for i in range(2000)] + [(5000 + i, "ba", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit({"x": {"abab": 9, "ba": 1, "bbbb": 1}}, ["ab", "ba", "bb"])
+    mine = [t for i, t, l in rows if l and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(mine) > 1000
+    low = float(np.percentile([f for f in model.score(mine)[2]], 100 * langid.MISFITS)) - langid.MARGIN
+    assert math.isclose(langid.least_fits(docs, model)["x"], low, abs_tol=1e-9)
+    # The same bound decides; nothing is taken from a sample.
+    monkeypatch.setattr(langid, "train", lambda *a, **k: model)
+    monkeypatch.setattr(langid, "MARGIN", 0.0)
+    kept = {r.doc_id for r in langid.accept(docs).collect()}
+    assert kept == {i for (i, t, _), f in zip(rows, model.score([r[1] for r in rows])[2], strict=True) if f >= low + 2.5}
