@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,29 @@ def test_numbering_over_ranges_with_a_hot_value(spark):
     down = stages.numbered(df, [F.desc("k"), "x"], "place", range_rows=20).orderBy("place").collect()
     assert [(r.k, r.x) for r in down] == sorted(rows, key=lambda r: (-r[0], r[1]))
     assert stages.numbered(df.limit(0), ["k"]).collect() == []
+
+
+def test_leading_bits_are_those_of_md5():
+    units = ["7", "10", "12345", None, "é", "x" * 45, "y" * 60, "", "99"]
+    got = resampling._leading([None if u is None else u.encode() for u in units], "rare", 1203)
+    for k, u in enumerate(units):
+        for i in (0, 5, 9, 10, 99, 100, 999, 1000, 1202):
+            fits = u is not None and len(f"rare|{i}|{u}".encode()) <= 55
+            assert got[k, i] == (int(draw("rare", i, u)[:8], 16) if fits else 0)
+
+
+def test_few_draws_are_worked_out_one_by_one(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(resampling, "md5", lambda m, f=resampling.md5: (calls.append(1), f(m))[1])
+    rows = pa.table({"_unit": [str(i) for i in range(2000)], "v": ["x"] * 2000, "_low": [1 << 50] * 2000, "_high": [1 << 52] * 2000}).to_batches()
+
+    class Rows:
+        schema = {"v": type("f", (), {"dataType": type("t", (), {"simpleString": lambda self: "string"})()})()}
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter(rows)))
+
+    out = resampling._count_draws(Rows(), "s", 40, [], ["v"])
+    under = [int(draw("s", i, u)[:15], 16) for u in range(2000) for i in range(40)]
+    assert sum(b.num_rows for b in out if b.column("counts").null_count) == sum(1 << 50 <= x < 1 << 52 for x in under)
+    assert len(calls) < 2000 * 40 / 50
