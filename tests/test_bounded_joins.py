@@ -80,3 +80,21 @@ def test_factors_keep_digits_that_a_gram_table_loses(spark, monkeypatch):
     assert not np.allclose(np.sqrt(np.abs(np.linalg.eigvalsh(x.T @ x)[::-1])), d, rtol=1e-4, atol=1e-16)
     wide = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(size=(3, 5)))], "k int, v array<double>")
     assert len(matrices.singular_values(wide, "v")[0]) == 3
+
+
+def test_points_without_clusters_meet_by_blocks_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours.vector_pairs, "BLOCKS", 2)
+    rng = random.Random(8)
+    points = {3 * i: [float(rng.randint(0, 3)) if i % 2 else rng.gauss(0, 1) for _ in range(6)] for i in range(150)}
+    df = spark.createDataFrame([*points.items(), (5000, None)], "k int, v array<double>").repartition(3)
+
+    def refused(*args):
+        raise AssertionError("a copy of each point for every cell")
+
+    monkeypatch.setattr(neighbours, "_dealt", refused)
+    got = {}
+    for r in neighbours.nearest(df, "k", "v", 3).collect():
+        got.setdefault(r.src, []).append((r.rank, r.weight, r.dst))
+    want = brute(points, 3)
+    assert got.keys() == want.keys()
+    assert all([d for _, _, d in sorted(got[i])] == [j for _, j in want[i]] and all(math.isclose(w, x) for (_, w, _), (x, _) in zip(sorted(got[i]), want[i], strict=True)) for i in want)
